@@ -1,6 +1,8 @@
 """Registered queries over the given tables, each with its SQL check."""
 
-from packetcheck.catalog import comparing, extracting  # noqa: F401
+from packetcheck.catalog import (  # noqa: F401
+    collecting, comparing, extracting, keeping, scalars, streams,
+)
 from packetcheck.catalog.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -215,6 +215,10 @@ RENDERED = {
     "todo_pages": partial(rendered.todo_pages, with_bad=False),
     "bad_todo_pages": partial(rendered.todo_pages, with_bad=True),
 }
+# rendered from another table than the sides
+SOURCES = {
+    "detail_pages": "packet_names", "todo_pages": "packet_base", "bad_todo_pages": "packet_base",
+}
 _stored: dict[tuple[str, str, str], str] = {}
 
 
@@ -233,7 +237,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _stored:
             path = shared_dir(self.spark, name)
-            df.write.parquet(path)
+            # small data would end up in one file and be read by one task
+            df.repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
             _stored[key] = path
         return self.spark.read.schema(df.schema).parquet(_stored[key])
 
@@ -247,7 +252,7 @@ class Tables:
                 df = self.spark.sql(sql, **frames)
                 self._frames[name] = self._store(name, df) if name == "sides" else df
             elif name in RENDERED:
-                source = self.packet_base if "todo" in name else self.sides
+                source = getattr(self, SOURCES.get(name, "sides"))
                 self._frames[name] = self._store(name, RENDERED[name](source))
             else:
                 self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

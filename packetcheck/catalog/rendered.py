@@ -317,7 +317,7 @@ def detail_pages(sides: DataFrame) -> DataFrame:
     )
     subject = F.when(k % 24 == 5, "无").otherwise(F.concat(F.lit("项目号："), F.lower("code")))
     return sides.select(
-        F.md5(k.cast("string")).alias("fd_id"), "project_name", subject.alias("subject"),
+        F.md5(k.cast("string")).alias("fd_id"), subject.alias("subject"),
         html.alias("html"),
     )
 

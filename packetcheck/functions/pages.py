@@ -105,14 +105,16 @@ def looks_expired(c: Column) -> Column:
 def json_signals_expiry(body: Column) -> Column:
     """Whether any string value inside a JSON text says the session has ended.
 
-    Keys are not looked at: a string followed by a colon is a key.
+    Keys are matched together with their colon and left out.
     """
-    literals = F.regexp_extract_all(
-        body, F.lit(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?!\s*:)'), 1
+    tokens = F.regexp_extract_all(
+        body, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'), 0
     )
-    return F.exists(
-        F.transform(literals, decode_js_string), lambda v: looks_like_login(v) | looks_expired(v)
+    values = F.transform(
+        F.filter(tokens, lambda s: s.endswith('"')),
+        lambda s: decode_js_string(F.substr(s, F.lit(2), F.char_length(s) - 2)),
     )
+    return F.exists(values, lambda v: looks_like_login(v) | looks_expired(v))
 
 
 # --- links ------------------------------------------------------------------

@@ -47,12 +47,13 @@ def todo_lists(pages: DataFrame) -> DataFrame:
 
 def _row_value(cells: Column, *names: str) -> Column:
     """Last value of the first named column present in a list row."""
-    tries = []
-    for name in names:
-        same = F.filter(cells, lambda c, name=name: string_at(c, "$.col") == name)
+
+    def value(name: str) -> Column:
+        same = F.filter(cells, lambda c: string_at(c, "$.col") == name)
         last = F.try_element_at(same, F.lit(-1))
-        tries.append(F.when(F.size(same) > 0, F.coalesce(string_at(last, "$.value"), F.lit(""))))
-    return F.coalesce(*tries, F.lit(""))
+        return F.when(last.isNotNull(), F.coalesce(string_at(last, "$.value"), F.lit("")))
+
+    return F.coalesce(*[value(name) for name in names], F.lit(""))
 
 
 def todo_rows(lists: DataFrame) -> DataFrame:
@@ -195,9 +196,11 @@ def chosen_attachments(attachments: Column) -> Column:
     A record's attachments stay in one array, so the choice is a projection.
     """
     usable = F.filter(attachments, lambda a: ~is_message(a))
-    roles = [vocab.REGISTRY_ROLE, vocab.SUMMARY_ROLE, vocab.REPORT_ROLE]
-    picks = [F.slice(F.filter(usable, lambda a, r=r: has_role(a, r)), 1, 1) for r in roles]
-    picked = F.concat(*picks)
+
+    def first(role: tuple[str, list[str]]) -> Column:
+        return F.slice(F.filter(usable, lambda a: has_role(a, role)), 1, 1)
+
+    picked = F.concat(*[first(r) for r in (vocab.REGISTRY_ROLE, vocab.SUMMARY_ROLE, vocab.REPORT_ROLE)])
     ids = F.transform(picked, lambda a: a["fd_id"])
     rest = F.filter(usable, lambda a: ~F.array_contains(ids, a["fd_id"]))
     return F.slice(F.concat(picked, rest), 1, vocab.ATTACHMENTS_KEPT)

@@ -12,6 +12,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # rule suites compile to long methods; beyond this size the JIT gives up, so
+    # let Spark split the expressions into small methods instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
