@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from packetcheck.catalog.derived import Tables
 from packetcheck.catalog.registry import query
 from packetcheck.operators.portal import (
-    chosen_attachments, collected_items, detail_records, first_items, page_progress,
-    reject_reason, split_skipped, todo_lists, todo_rows,
+    collected_items, detail_records, first_items, page_progress,
+    reject_reason, split_skipped, todo_lists, todo_rows, with_choice,
 )
 
 _SHOWN = """
@@ -23,7 +23,6 @@ _SHOWN = """
     pages as (select category, page_no from shown group by category, page_no),
     progress as (
         select p.category, p.page_no,
-               (select count(*) from linked l where l.category = p.category and l.page_no = p.page_no) as held,
                (select count(*) from firsts f where f.category = p.category and f.page_no = p.page_no) as fresh
         from pages p where p.page_no <= 200
     ),
@@ -38,13 +37,13 @@ _SHOWN = """
 
 
 @query("todo_progress", f"""
-    with {_SHOWN} select category, page_no, held, fresh, loaded, ends from ends
+    with {_SHOWN} select category, page_no, fresh, loaded, ends from ends
 """)
 def todo_progress(t: Tables) -> DataFrame:
     lists = todo_lists(t.todo_pages)
     pages = page_progress(lists, first_items(todo_rows(lists)))
     return pages.select(
-        "category", F.col("page_no").cast("bigint").alias("page_no"), "held", "fresh", "loaded", "ends"
+        "category", F.col("page_no").cast("bigint").alias("page_no"), "fresh", "loaded", "ends"
     )
 
 
@@ -111,14 +110,14 @@ def attachments(t: Tables) -> DataFrame:
         from found where kind <> 3
     ),
     chosen as (select *, row_number() over (partition by k order by prio, i) as rank from ranked)
-    select md5(cast(k as string)) as page, string_agg(name, '|' order by rank) as chosen
-    from chosen where rank <= 3 group by k
+    select md5(cast(p.k as string)) as page, coalesce(string_agg(name, '|' order by rank), '') as chosen
+    from packet_names p left join chosen c on c.k = p.k and rank <= 3 group by p.k
 """)
 def attachment_choice(t: Tables) -> DataFrame:
     records = detail_records(t.detail_pages)
-    names = F.transform(chosen_attachments(F.col("attachments")), lambda a: a["name"])
-    listed = records.select(F.col("fd_id").alias("page"), F.array_join(names, "|").alias("chosen"))
-    return listed.filter(F.col("chosen") != "")
+    return with_choice(records).select(
+        F.col("fd_id").alias("page"), F.array_join("chosen.name", "|").alias("chosen")
+    )
 
 
 _DETAIL = """

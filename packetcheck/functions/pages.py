@@ -26,7 +26,8 @@ def strip_html(c: Column) -> Column:
 
 def decode_js_string(c: Column) -> Column:
     """Body of a quoted script string with its escapes resolved, or as it is."""
-    decoded = F.from_json(F.concat(F.lit('{"v":"'), c, F.lit('"}')), "v string")["v"]
+    escaped = F.when(c.contains("\\"), c)
+    decoded = F.from_json(F.concat(F.lit('{"v":"'), escaped, F.lit('"}')), "v string")["v"]
     return F.coalesce(decoded, c)
 
 

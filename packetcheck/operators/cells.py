@@ -1,8 +1,9 @@
 """Registry sheets: from a long table of cells to one typed record per project.
 
-Cells come as ``project_name, sheet_idx, sheet, row, col, kind, s, n``. Nothing
-collects a sheet: labels are found by filter and ``min``, and values are
-fetched by equi-joins on cell addresses, so a huge sheet spreads over all tasks.
+Cells come as ``project_name, sheet_idx, sheet, row, col, kind, s, n`` and are
+read twice: once for the few marker cells that give a sheet its layout, once to
+pick the cells the layout points at. All reductions are aggregates that combine
+before the shuffle, so neither a long sheet nor a large project is gathered.
 """
 
 from __future__ import annotations
@@ -19,147 +20,173 @@ from packetcheck.functions.values import (
 SHEET = ["project_name", "sheet_idx"]
 HEADER_ROWS = 20
 HEADER_REACH = 4
-# neighbours of a label in the order they are tried: (row offset, column offset)
-NEIGHBOURS = [(0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (1, 0), (2, 0), (3, 0)]
+# a label's value may stand this far right of it, or else this far below
+RIGHT_REACH = 5
+DOWN_REACH = 3
+COLUMNS = 1 << 20  # more than any sheet format has
 
 
-def with_text(cells: DataFrame) -> DataFrame:
-    """Add the one-line text of each cell."""
-    return cells.withColumn("text", cell_text(F.col("kind"), F.col("s"), F.col("n")))
+def _bare(label: str) -> str:
+    return label.translate(str.maketrans("", "", "\n\r 　:：")).strip()
 
 
-def header_positions(cells: DataFrame) -> DataFrame:
-    """Topmost-leftmost field header of each sheet and its value column.
+def marker_cells(cells: DataFrame) -> DataFrame:
+    """Cells that are a known label, a field header or a content header.
 
-    A header cell asks for the content header at its next four addresses, which
-    keeps the join on exact addresses and linear in the header cells.
+    A content header is repeated at the four addresses left of it, where it
+    would serve a field header; ``value_col`` says where it really stands.
     """
-    top = with_text(cells.filter(F.col("row") < HEADER_ROWS))
-    fields = top.filter(F.col("text") == vocab.FIELD_HEADER).select(
-        *SHEET, "row", "col",
-        F.explode(F.sequence(F.col("col") + 1, F.col("col") + HEADER_REACH)).alias("value_col"),
+    text = F.col("text")
+    text_cells = cells.filter(F.col("s").isNotNull()).select(
+        *SHEET, "row", "col", cell_text(F.col("kind"), F.col("s"), F.col("n")).alias("text")
     )
-    contents = top.filter(F.col("text") == vocab.CONTENT_HEADER).select(
-        *SHEET, "row", F.col("col").alias("value_col")
+    marked = text_cells.select(
+        *SHEET, "row", "col", field_label(text).alias("label"),
+        (text == vocab.FIELD_HEADER).alias("is_field"),
+        (text == vocab.CONTENT_HEADER).alias("is_content"),
     )
-    best = F.min(F.struct("row", "col", "value_col")).alias("at")
-    return (
-        fields.join(contents, [*SHEET, "row", "value_col"])
-        .groupBy(*SHEET)
-        .agg(best)
-        .select(
-            *SHEET,
-            F.col("at.row").alias("header_row"),
-            F.col("at.col").alias("field_col"),
-            F.col("at.value_col").alias("value_col"),
-        )
-    )
-
-
-def label_positions(cells: DataFrame) -> DataFrame:
-    """First cell, row by row, of every known label in each sheet."""
-    bare = {field_text(label): label for label in vocab.REGISTRY_LABELS}
-    named = with_text(cells).withColumn("bare", field_label(F.col("text")))
-    return (
-        named.filter(F.col("bare").isin(list(bare)))
-        .groupBy(*SHEET, F.col("bare").alias("label"))
-        .agg(F.min(F.struct("row", "col")).alias("at"))
-        .select(*SHEET, "label", F.col("at.row").alias("row"), F.col("at.col").alias("col"))
+    known = [_bare(label) for label in vocab.REGISTRY_LABELS]
+    top = F.col("row") < HEADER_ROWS
+    kept = marked.filter(
+        F.col("label").isin(known) | (top & (F.col("is_field") | F.col("is_content")))
+    )
+    at = F.when(
+        F.col("is_content"),
+        F.sequence(F.col("col") - HEADER_REACH, F.col("col") - 1),
+    ).otherwise(F.array("col"))
+    return kept.select(
+        *SHEET, "row", F.explode_outer(at).alias("at"), "label", "is_field",
+        F.when(F.col("is_content"), F.col("col")).alias("value_col"),
     )
 
 
-def field_text(label: str) -> str:
-    """Plain-Python twin of ``field_label`` for the fixed label list."""
-    return label.translate(str.maketrans("", "", "\n\r 　:：")).strip()
+def sheet_layouts(cells: DataFrame) -> DataFrame:
+    """Header and label positions of each sheet.
+
+    The header is the topmost-leftmost field header with a content header in
+    reach; of each known label the first cell, row by row, counts.
+    """
+    places = marker_cells(cells).groupBy(*SHEET, "row", "at").agg(
+        F.bool_or("is_field").alias("is_field"),
+        F.min("value_col").alias("value_col"),
+        F.max(F.when(F.col("value_col").isNull(), F.col("label"))).alias("label"),
+    )
+    # positions as one number each: minima of numbers aggregate by hashing,
+    # minima of structs would sort
+    place = F.col("row").cast("bigint") * COLUMNS + F.col("at")
+    offset = F.col("value_col") - F.col("at")
+    is_header = F.col("is_field") & F.col("value_col").isNotNull()
+    labels = vocab.REGISTRY_LABELS
+    found = places.groupBy(*SHEET).agg(
+        F.min(F.when(is_header, place * (HEADER_REACH + 1) + offset)).alias("header"),
+        *[F.min(F.when(F.col("label") == _bare(x), place)).alias(x) for x in labels],
+    )
+    at = F.floor(F.col("header") / (HEADER_REACH + 1)).cast("bigint")
+    header = F.when(
+        F.col("header").isNotNull(),
+        F.struct(
+            _row_of(at).alias("row"), _col_of(at).alias("col"),
+            (_col_of(at) + F.col("header") % (HEADER_REACH + 1)).cast("int").alias("value_col"),
+        ),
+    )
+    known = F.filter(
+        F.array(*[
+            F.struct(F.lit(x).alias("label"), _row_of(F.col(x)).alias("row"), _col_of(F.col(x)).alias("col"))
+            for x in labels
+        ]),
+        lambda p: p["row"].isNotNull(),
+    )
+    return found.select(*SHEET, header.alias("header"), known.alias("labels"))
+
 
+def _row_of(place: Column) -> Column:
+    return F.floor(place / COLUMNS).cast("int")
 
-def chosen_sheets(headers: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _col_of(place: Column) -> Column:
+    return (place % COLUMNS).cast("int")
+
+
+def chosen_layouts(layouts: DataFrame) -> DataFrame:
     """First sheet of each project with a header or any known label."""
+    useful = F.col("header").isNotNull() | (F.size("labels") > 0)
+    chosen = F.min_by(F.struct(*SHEET[1:], "header", "labels"), F.when(useful, F.col("sheet_idx")))
     return (
-        headers.select(*SHEET)
-        .unionByName(labels.select(*SHEET))
-        .groupBy("project_name")
-        .agg(F.min("sheet_idx").alias("sheet_idx"))
-    )
-
-
-def header_fields(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Label and value pairs of the rows under each header; the last row wins."""
-    columns = headers.select(
-        *SHEET, "header_row",
-        F.explode(
-            F.array(
-                F.struct(F.col("field_col").alias("col"), F.lit(True).alias("is_label")),
-                F.struct(F.col("value_col").alias("col"), F.lit(False).alias("is_label")),
-            )
-        ).alias("c"),
-    ).select(*SHEET, "header_row", "c.*")
-    typed = cells.select(*SHEET, "row", "col", "kind", "s", "n")
-    under = typed.join(columns, [*SHEET, "col"]).filter(F.col("row") > F.col("header_row"))
-    cell = F.struct("kind", "s", "n")
-    rows = under.groupBy(*SHEET, "row").agg(
-        F.max(F.when(F.col("is_label"), cell)).alias("l"),
-        F.max(F.when(~F.col("is_label"), cell)).alias("v"),
-    )
-    label = cell_text(F.col("l.kind"), F.col("l.s"), F.col("l.n"))
-    labelled = rows.filter(F.col("l").isNotNull() & F.col("v").isNotNull()).select(
-        *SHEET, "row", label.alias("label"), "v.kind", "v.s", "v.n"
-    )
-    valued = with_cell_value(labelled, F.col("label"), F.col("kind"), F.col("s"), F.col("n"))
-    # rows without a value do not count; choosing by aggregate, not by filter,
-    # keeps the value expressions from being evaluated for the filter as well
-    last = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("row")))
-    skipped = ["", vocab.SHEET_TITLE, vocab.FIELD_HEADER, vocab.CONTENT_HEADER, vocab.REMARK]
-    return (
-        valued.groupBy(*SHEET, "label")
-        .agg(last.alias("value"))
-        .filter(
-            F.col("value").isNotNull()
-            & ~F.col("label").isin(skipped)
-            & ~F.col("label").startswith(vocab.NOTE_PREFIX)
-        )
-    )
-
-
-def neighbour_fields(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Value of each label from the cells right of it, or else below it."""
-    offsets = F.array(
-        *[
-            F.struct(F.lit(rank).alias("rank"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))
-            for rank, (dr, dc) in enumerate(NEIGHBOURS)
-        ]
-    )
-    wanted = labels.select("*", F.explode(offsets).alias("o")).select(
-        *SHEET, "label",
-        (F.col("row") + F.col("o.dr")).alias("row"),
-        (F.col("col") + F.col("o.dc")).alias("col"),
-        F.col("o.rank").alias("rank"),
+        layouts.groupBy("project_name")
+        .agg(chosen.alias("l"))
+        .filter(F.col("l").isNotNull())
+        .select("project_name", "l.*")
     )
+
+
+HIT = "struct<row:int,label:string,rank:int,is_label:boolean>"
+
+
+def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Cells the layouts point at: under the header, or next to a label.
+
+    Under the header a hit belongs to a row, next to a label to that label;
+    ``rank`` orders neighbours, right ones before lower ones.
+    """
+    c, row, col = F.col, F.col("row"), F.col("col")
     typed = cells.select(*SHEET, "row", "col", "kind", "s", "n")
-    near = typed.join(wanted, [*SHEET, "row", "col"])
-    valued = with_cell_value(near, F.col("label"), F.col("kind"), F.col("s"), F.col("n"))
-    first = F.min_by("value", F.when(is_meaningful(F.col("value")), F.col("rank")))
-    return (
-        valued.groupBy(*SHEET, "label")
-        .agg(first.alias("value"))
-        .filter(F.col("value").isNotNull())
+    joined = typed.join(layouts, SHEET)
+    under = (row > c("header.row")) & ((col == c("header.col")) | (col == c("header.value_col")))
+    none = F.lit(None)
+    header_hit = F.when(
+        F.coalesce(under, F.lit(False)),
+        F.array(F.struct(row, none, none, col == c("header.col")).cast(HIT)),
+    ).otherwise(F.array().cast(f"array<{HIT}>"))
+
+    def beside(p: Column) -> Column:
+        right = (row == p["row"]) & (col - p["col"]).between(1, RIGHT_REACH)
+        below = (col == p["col"]) & (row - p["row"]).between(1, DOWN_REACH)
+        return right | below
+
+    def as_hit(p: Column) -> Column:
+        rank = F.when(row == p["row"], col - p["col"]).otherwise(RIGHT_REACH + row - p["row"])
+        return F.struct(none, p["label"], rank, none).cast(HIT)
+
+    near = F.transform(F.filter("labels", beside), as_hit)
+    # the outer form keeps the optimizer from evaluating the hits twice
+    hits = joined.select(
+        "project_name", "kind", "s", "n", F.explode_outer(F.concat(header_hit, near)).alias("hit")
     )
+    return hits.filter(F.col("hit").isNotNull()).select("project_name", "kind", "s", "n", "hit.*")
 
 
 def registry_fields(cells: DataFrame) -> DataFrame:
     """``project_name, label, value`` of each project's registry sheet.
 
-    Header rows come first; labels they leave open are looked up by neighbour.
+    Rows under the header come first, the last one of a label winning; labels
+    they leave open take the first meaningful neighbour.
     """
-    headers = header_positions(cells)
-    labels = label_positions(cells)
-    chosen = chosen_sheets(headers, labels)
-    by_header = header_fields(cells, headers.join(chosen, SHEET, "left_semi"))
-    open_labels = labels.join(chosen, SHEET, "left_semi").join(
-        by_header.select(*SHEET, "label"), [*SHEET, "label"], "left_anti"
-    )
-    by_neighbour = neighbour_fields(cells, open_labels)
-    return by_header.unionByName(by_neighbour).select("project_name", "label", "value")
+    c = F.col
+    hits = layout_hits(cells, chosen_layouts(sheet_layouts(cells)))
+    valued = with_cell_value(hits, c("label"), c("kind"), c("s"), c("n"))
+    cell = F.struct("kind", "s", "n")
+    paired = valued.groupBy("project_name", "row", "label").agg(
+        F.max(F.when(c("is_label"), cell)).alias("l"),
+        F.max(F.when(~c("is_label"), cell)).alias("v"),
+        F.min_by("value", F.when(is_meaningful(c("value")), c("rank"))).alias("near"),
+    )
+    named = paired.select(
+        "project_name", "row", "near",
+        F.coalesce("label", cell_text(c("l.kind"), c("l.s"), c("l.n"))).alias("label"),
+        F.when(c("l").isNotNull(), c("v.kind")).alias("kind"), c("v.s").alias("s"), c("v.n").alias("n"),
+    )
+    under = with_cell_value(named, c("label"), c("kind"), c("s"), c("n"))
+    skipped = ["", vocab.SHEET_TITLE, vocab.FIELD_HEADER, vocab.CONTENT_HEADER, vocab.REMARK]
+    counts = c("value").isNotNull() & c("kind").isNotNull()
+    merged = under.groupBy("project_name", "label").agg(
+        F.max_by("value", F.when(counts, c("row"))).alias("header_value"),
+        F.max("near").alias("near"),
+    )
+    by_header = ~c("label").isin(skipped) & ~c("label").startswith(vocab.NOTE_PREFIX)
+    value = F.coalesce(F.when(by_header, c("header_value")), c("near"))
+    return merged.select("project_name", "label", value.alias("value")).filter(
+        c("value").isNotNull()
+    )
 
 
 def registry_columns(fields: DataFrame, labels: list[str] | None = None) -> DataFrame:

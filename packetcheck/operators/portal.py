@@ -10,7 +10,7 @@ from packetcheck.functions.pages import (
     looks_like_login, strip_html,
 )
 from packetcheck.functions.payload import (
-    count_field, json_kind, node, parse_object, string_at,
+    count_field, parse_object, string_at,
 )
 from packetcheck.functions.text import blank_to_null
 
@@ -24,50 +24,55 @@ def reject_reason(body: Column) -> Column:
         F.when(looks_like_login(body), "login_page")
         .when(parsed.isNull(), "not_json")
         .when(json_signals_expiry(body), "session_expired")
-        .when(
-            F.coalesce(json_kind(node(parsed, "$.datas")), F.lit("")) != "ARRAY", "no_datas"
-        )
+        .when(F.try_variant_get(parsed, "$.datas", "array<variant>").isNull(), "no_datas")
     )
 
 
 def todo_lists(pages: DataFrame) -> DataFrame:
     """Usable responses of ``category, page_no, body`` with totals and raw rows."""
-    v = parse_object(F.col("body"))
+    v = F.col("v")
     return (
         pages.filter(reject_reason(F.col("body")).isNull())
-        .withColumn("v", v)
+        .withColumn("v", parse_object(F.col("body")))
         .select(
             "category", "page_no",
-            count_field(F.col("v"), vocab.TOTAL_COUNT_KEYS).alias("total_count"),
-            count_field(F.col("v"), vocab.TOTAL_PAGE_KEYS).alias("total_pages"),
-            F.try_variant_get("v", "$.datas", "array<variant>").alias("rows"),
+            count_field(v, vocab.TOTAL_COUNT_KEYS).alias("total_count"),
+            count_field(v, vocab.TOTAL_PAGE_KEYS).alias("total_pages"),
+            F.try_variant_get(v, "$.datas", "array<variant>").alias("rows"),
         )
     )
 
 
-def _row_value(cells: Column, *names: str) -> Column:
+def _row_value(pairs: Column, *names: str) -> Column:
     """Last value of the first named column present in a list row."""
 
     def value(name: str) -> Column:
-        same = F.filter(cells, lambda c: string_at(c, "$.col") == name)
-        last = F.try_element_at(same, F.lit(-1))
-        return F.when(last.isNotNull(), F.coalesce(string_at(last, "$.value"), F.lit("")))
+        return F.try_element_at(F.filter(pairs, lambda p: p["col"] == name), F.lit(-1))["value"]
 
     return F.coalesce(*[value(name) for name in names], F.lit(""))
 
 
 def todo_rows(lists: DataFrame) -> DataFrame:
     """Items of the to-do lists in page order; rows without a link are skipped."""
-    cells = F.try_variant_get(F.col("raw"), "$", "array<variant>")
+    pairs = F.transform(
+        F.try_variant_get("raw", "$", "array<variant>"),
+        lambda c: F.struct(
+            string_at(c, "$.col").alias("col"),
+            F.coalesce(string_at(c, "$.value"), F.lit("")).alias("value"),
+        ),
+    )
+    item = F.struct(
+        _row_value(F.col("pairs"), "fdId").alias("fd_id"),
+        strip_html(_row_value(F.col("pairs"), "todo.subject4View")).alias("subject"),
+        _row_value(F.col("pairs"), "tr_href", "_tr_href").alias("detail_path"),
+    )
+    # a one-element explode, so that the filter below is not pushed into the
+    # parsing and every row is read once
     return (
-        lists.select("category", "page_no", F.posexplode("rows").alias("pos", "raw"))
-        .withColumn("cells", cells)
-        .select(
-            "category", "page_no", "pos",
-            _row_value(F.col("cells"), "fdId").alias("fd_id"),
-            strip_html(_row_value(F.col("cells"), "todo.subject4View")).alias("subject"),
-            _row_value(F.col("cells"), "tr_href", "_tr_href").alias("detail_path"),
-        )
+        lists.select("category", "page_no", F.posexplode_outer("rows").alias("pos", "raw"))
+        .withColumn("pairs", pairs)
+        .select("category", "page_no", "pos", F.explode_outer(F.array(item)).alias("i"))
+        .select("category", "page_no", "pos", "i.*")
         .filter(F.col("detail_path") != "")
     )
 
@@ -91,20 +96,18 @@ def first_items(rows: DataFrame) -> DataFrame:
 
 
 def page_progress(lists: DataFrame, items: DataFrame) -> DataFrame:
-    """Per list page: items it holds, new ones, and whether paging ends there.
+    """Per list page: its new items, all loaded so far, and whether paging ends there.
 
     Paging ends on an empty page, one without anything new, the last page by
     its number, or when all announced items are loaded. The window runs over
     page summaries, at most 200 per category, never over items.
     """
-    held = todo_rows(lists).groupBy("category", "page_no").agg(F.count("*").alias("held"))
     fresh = items.groupBy("category", "page_no").agg(F.count("*").alias("fresh"))
     pages = (
         lists.filter(F.col("page_no") <= vocab.TODO_PAGE_LIMIT)
         .select("category", "page_no", "total_count", "total_pages")
-        .join(held, ["category", "page_no"], "left")
         .join(fresh, ["category", "page_no"], "left")
-        .na.fill(0, ["held", "fresh"])
+        .na.fill(0, ["fresh"])
     )
     so_far = Window.partitionBy("category").orderBy("page_no").rowsBetween(
         Window.unboundedPreceding, 0
@@ -144,8 +147,13 @@ _ADD_DOC = (
 )
 
 
-def section_attachments(html: Column, section: str = vocab.ATTACHMENT_SECTION) -> Column:
-    """Attachments announced in a page section, in page order, one per id."""
+ATTACHMENTS_TYPE = (
+    "array<struct<name:string,fd_id:string,mime_type:string,size:string,file_key:string>>"
+)
+
+
+def announced(html: Column, section: str = vocab.ATTACHMENT_SECTION) -> Column:
+    """Attachments a page section announces, in page order."""
     at = F.instr(html, F.lit(section))
     part = F.when(at > 0, F.substr(html, at, F.lit(vocab.ATTACHMENT_SECTION_SIZE)))
     calls = F.regexp_extract_all(part, F.lit(_ADD_DOC), 0)
@@ -162,19 +170,13 @@ def section_attachments(html: Column, section: str = vocab.ATTACHMENT_SECTION) -
             decode_js_string(group(5)).alias("file_key"),
         )
 
-    found = F.coalesce(F.transform(calls, attachment), F.array().cast(ATTACHMENTS_TYPE))
-    return _first_by_id(found)
-
+    return F.coalesce(F.transform(calls, attachment), F.array().cast(ATTACHMENTS_TYPE))
 
-ATTACHMENTS_TYPE = (
-    "array<struct<name:string,fd_id:string,mime_type:string,size:string,file_key:string>>"
-)
 
-
-def _first_by_id(attachments: Column) -> Column:
-    ids = F.transform(attachments, lambda a: a["fd_id"])
+def first_by_id(attachments: Column) -> Column:
+    """Each attachment id once, where it first stands."""
     return F.filter(
-        attachments, lambda a, i: F.array_position(ids, a["fd_id"]) == i + 1
+        attachments, lambda a, i: F.array_position(attachments["fd_id"], a["fd_id"]) == i + 1
     )
 
 
@@ -190,20 +192,24 @@ def has_role(a: Column, role: tuple[str, list[str]]) -> Column:
     return name.contains(keyword) & name.rlike(r"\.(" + "|".join(extensions) + ")$")
 
 
-def chosen_attachments(attachments: Column) -> Column:
-    """At most three attachments: one per role first, then the rest in page order.
+def with_choice(records: DataFrame) -> DataFrame:
+    """Add ``chosen``, at most three attachments: one per role, then in page order.
 
     A record's attachments stay in one array, so the choice is a projection.
     """
-    usable = F.filter(attachments, lambda a: ~is_message(a))
+    usable = F.col("_usable")
 
     def first(role: tuple[str, list[str]]) -> Column:
         return F.slice(F.filter(usable, lambda a: has_role(a, role)), 1, 1)
 
-    picked = F.concat(*[first(r) for r in (vocab.REGISTRY_ROLE, vocab.SUMMARY_ROLE, vocab.REPORT_ROLE)])
-    ids = F.transform(picked, lambda a: a["fd_id"])
-    rest = F.filter(usable, lambda a: ~F.array_contains(ids, a["fd_id"]))
-    return F.slice(F.concat(picked, rest), 1, vocab.ATTACHMENTS_KEPT)
+    roles = [vocab.REGISTRY_ROLE, vocab.SUMMARY_ROLE, vocab.REPORT_ROLE]
+    chosen = F.concat("_picked", F.array_except("_usable", "_picked"))
+    return (
+        records.withColumn("_usable", F.filter("attachments", lambda a: ~is_message(a)))
+        .withColumn("_picked", F.concat(*[first(role) for role in roles]))
+        .withColumn("chosen", F.slice(chosen, 1, vocab.ATTACHMENTS_KEPT))
+        .drop("_usable", "_picked")
+    )
 
 
 def detail_records(details: DataFrame) -> DataFrame:
@@ -216,8 +222,8 @@ def detail_records(details: DataFrame) -> DataFrame:
         looks_like_login(html).alias("is_login"),
         code.alias("project_code"),
         detail_field(html, "项目名称").alias("project_name"),
-        section_attachments(html).alias("attachments"),
-    )
+        announced(html).alias("announced"),
+    ).withColumn("attachments", first_by_id(F.col("announced"))).drop("announced")
     error = (
         F.when(F.col("is_login"), "session_expired")
         .when(F.col("project_code").isNull(), "no_code")
