@@ -1,0 +1,37 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
+
+from packetcheck.session import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(
+        "packetcheck-tests", "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+            "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def each(spark):
+    """Apply a column function to single values: each(fn, values) -> results."""
+    from pyspark.sql import functions as F
+
+    def run(fn, values, kind="string"):
+        rows = [(i, v) for i, v in enumerate(values)]
+        df = spark.createDataFrame(rows, f"i int, v {kind}")
+        out = df.select("i", fn(F.col("v")).alias("r")).collect()
+        return [r["r"] for r in sorted(out, key=lambda r: r["i"])]
+
+    return run
