@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packetcheck import vocab
+from packetcheck.functions.arrays import present
 from packetcheck.functions.dates import first_date
 from packetcheck.functions.text import field_label
 from packetcheck.functions.values import (
@@ -61,7 +62,7 @@ def marker_cells(cells: DataFrame) -> DataFrame:
 
 
 def sheet_layouts(cells: DataFrame) -> DataFrame:
-    """Header and label positions of each sheet.
+    """Header and label positions of each sheet; ``labels`` maps place to label.
 
     The header is the topmost-leftmost field header with a content header in
     reach; of each known label the first cell, row by row, counts.
@@ -89,14 +90,13 @@ def sheet_layouts(cells: DataFrame) -> DataFrame:
             (_col_of(at) + F.col("header") % (HEADER_REACH + 1)).cast("int").alias("value_col"),
         ),
     )
-    known = F.filter(
-        F.array(*[
-            F.struct(F.lit(x).alias("label"), _row_of(F.col(x)).alias("row"), _col_of(F.col(x)).alias("col"))
-            for x in labels
-        ]),
-        lambda p: p["row"].isNotNull(),
+    places = F.filter(
+        F.array(*[F.struct(F.col(x).alias("place"), F.lit(x).alias("label")) for x in labels]),
+        lambda p: p["place"].isNotNull(),
+    )
+    return found.select(
+        *SHEET, header.alias("header"), F.map_from_entries(places).alias("labels")
     )
-    return found.select(*SHEET, header.alias("header"), known.alias("labels"))
 
 
 def _row_of(place: Column) -> Column:
@@ -132,25 +132,19 @@ def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
     typed = cells.select(*SHEET, "row", "col", "kind", "s", "n")
     joined = typed.join(layouts, SHEET)
     under = (row > c("header.row")) & ((col == c("header.col")) | (col == c("header.value_col")))
-    none = F.lit(None)
-    header_hit = F.when(
-        F.coalesce(under, F.lit(False)),
-        F.array(F.struct(row, none, none, col == c("header.col")).cast(HIT)),
-    ).otherwise(F.array().cast(f"array<{HIT}>"))
-
-    def beside(p: Column) -> Column:
-        right = (row == p["row"]) & (col - p["col"]).between(1, RIGHT_REACH)
-        below = (col == p["col"]) & (row - p["row"]).between(1, DOWN_REACH)
-        return right | below
-
-    def as_hit(p: Column) -> Column:
-        rank = F.when(row == p["row"], col - p["col"]).otherwise(RIGHT_REACH + row - p["row"])
-        return F.struct(none, p["label"], rank, none).cast(HIT)
-
-    near = F.transform(F.filter("labels", beside), as_hit)
+    none, place = F.lit(None), row.cast("bigint") * COLUMNS + col
+    found = [(
+        F.coalesce(under, F.lit(False)), F.struct(row, none, none, col == c("header.col")),
+    )]
+    # look for a label at each place this cell would be a neighbour of
+    back = [*range(1, RIGHT_REACH + 1), *(COLUMNS * d for d in range(1, DOWN_REACH + 1))]
+    for rank, distance in enumerate(back):
+        label = F.try_element_at("labels", place - distance)
+        found.append((label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
+    pointed = present(*found, kind=HIT)
     # the outer form keeps the optimizer from evaluating the hits twice
     hits = joined.select(
-        "project_name", "kind", "s", "n", F.explode_outer(F.concat(header_hit, near)).alias("hit")
+        "project_name", "kind", "s", "n", F.explode_outer(pointed).alias("hit")
     )
     return hits.filter(F.col("hit").isNotNull()).select("project_name", "kind", "s", "n", "hit.*")
 

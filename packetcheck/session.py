@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # join by hashing instead of sorting, but only where each partition is small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # rule suites compile to long methods; beyond this size the JIT gives up, so
     # let Spark split the expressions into small methods instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -37,3 +39,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     base = base or tempfile.mkdtemp(prefix="packetcheck-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several branches read, and read it back.
+
+    A table in the shared folder survives lost executors and is computed once,
+    which neither a cache nor exchange reuse can promise.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
