@@ -106,8 +106,10 @@ def looks_expired(c: Column) -> Column:
 def json_signals_expiry(body: Column) -> Column:
     """Whether any string value inside a JSON text says the session has ended.
 
-    Keys are matched together with their colon and left out.
+    Keys are matched together with their colon and left out. Only bodies that
+    hold one of the words at all, or an escape that may hide one, are taken apart.
     """
+    hint = body.rlike("(?i)登录|会话|login|session|logged|password|j_username")
     tokens = F.regexp_extract_all(
         body, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'), 0
     )
@@ -115,7 +117,8 @@ def json_signals_expiry(body: Column) -> Column:
         F.filter(tokens, lambda s: s.endswith('"')),
         lambda s: decode_js_string(F.substr(s, F.lit(2), F.char_length(s) - 2)),
     )
-    return F.exists(values, lambda v: looks_like_login(v) | looks_expired(v))
+    said = F.exists(values, lambda v: looks_like_login(v) | looks_expired(v))
+    return F.when(hint | body.contains("\\"), said).otherwise(False)
 
 
 # --- links ------------------------------------------------------------------

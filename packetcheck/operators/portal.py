@@ -13,6 +13,7 @@ from packetcheck.functions.payload import (
     count_field, parse_object, string_at,
 )
 from packetcheck.functions.text import blank_to_null
+from packetcheck.session import stored
 
 # --- to-do lists ------------------------------------------------------------
 
@@ -122,8 +123,11 @@ def page_progress(lists: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def collected_items(lists: DataFrame) -> DataFrame:
-    """De-duplicated items up to the page where paging ends in each category."""
-    items = first_items(todo_rows(lists))
+    """De-duplicated items up to the page where paging ends in each category.
+
+    The items are stored: where paging ends depends on all of them.
+    """
+    items = stored(first_items(todo_rows(lists)), "todo-items")
     stops = (
         page_progress(lists, items)
         .filter("ends")
