@@ -15,7 +15,7 @@ from packetcheck.functions.arrays import present
 from packetcheck.functions.dates import first_date
 from packetcheck.functions.text import field_label
 from packetcheck.functions.values import (
-    cell_text, is_meaningful, value_text, with_cell_value,
+    cell_kind, cell_string, cell_text, is_meaningful, make_value, value_text, with_cell_value,
 )
 
 SHEET = ["project_name", "sheet_idx"]
@@ -126,10 +126,14 @@ def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
     """Cells the layouts point at: under the header, or next to a label.
 
     Under the header a hit belongs to a row, next to a label to that label;
-    ``rank`` orders neighbours, right ones before lower ones.
+    ``rank`` orders neighbours, right ones before lower ones; only meaningful
+    cells count as neighbours.
     """
     c, row, col = F.col, F.col("row"), F.col("col")
-    typed = cells.select(*SHEET, "row", "col", "kind", "s", "n")
+    # whether a cell can be a value at all does not depend on the label, so it
+    # is settled once per cell and spares the other cells' hits
+    value = make_value(cell_kind(c("kind"), c("n")), cell_string(c("kind"), c("s"), c("n")))
+    typed = cells.select(*SHEET, "row", "col", "kind", "s", "n", is_meaningful(value).alias("ok"))
     joined = typed.join(layouts, SHEET)
     under = (row > c("header.row")) & ((col == c("header.col")) | (col == c("header.value_col")))
     none, place = F.lit(None), row.cast("bigint") * COLUMNS + col
@@ -140,7 +144,7 @@ def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
     back = [*range(1, RIGHT_REACH + 1), *(COLUMNS * d for d in range(1, DOWN_REACH + 1))]
     for rank, distance in enumerate(back):
         label = F.try_element_at("labels", place - distance)
-        found.append((label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
+        found.append((c("ok") & label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
     pointed = present(*found, kind=HIT)
     # the outer form keeps the optimizer from evaluating the hits twice
     hits = joined.select(
@@ -162,7 +166,7 @@ def registry_fields(cells: DataFrame) -> DataFrame:
     paired = valued.groupBy("project_name", "row", "label").agg(
         F.max(F.when(c("is_label"), cell)).alias("l"),
         F.max(F.when(~c("is_label"), cell)).alias("v"),
-        F.min_by("value", F.when(is_meaningful(c("value")), c("rank"))).alias("near"),
+        F.min_by("value", "rank").alias("near"),
     )
     named = paired.select(
         "project_name", "row", "near",
