@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,16 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Fresh folder all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder is used.
+    It lies under ``spark.checkpoint.dir``. Where that is unset, a local session
+    (one process) sets a temporary folder; a cluster has no such folder and must
+    name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="packetcheck-")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="packetcheck-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
