@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetcheck.llm import packing, simhash, token_files
+from packetcheck.llm import packing, repeats, simhash, token_files
 from packetcheck.llm.common import table
 from packetcheck.session import shared_dir
 
@@ -38,3 +38,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
