@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetcheck.llm import decontamination, language, packing, quality, repeats, simhash, token_files
+from packetcheck.llm import (
+    decontamination, embeddings, language, packing, quality, repeats, secrets, simhash, token_files, url_rules,
+)
 from packetcheck.llm.common import table
 from packetcheck.session import shared_dir
 
@@ -58,3 +60,25 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+#: Fixed rules, as (verdict, host/path).
+URL_RULES = [
+    (url_rules.ALLOW, "com/"), (url_rules.BLOCK, "example.com/en/"), (url_rules.ALLOW, "www.example.com/en/"),
+    (url_rules.BLOCK, "net/es/"), (url_rules.BLOCK, "net/fr/"),
+]
+
+
+@query
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+@query
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
