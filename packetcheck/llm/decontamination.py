@@ -83,6 +83,10 @@ class Seeds:
             out ^= out >> np.uint64(31)
         return out
 
+    def number_all(self, text: str) -> np.ndarray:
+        get = self.number.get
+        return np.array([get(x, 0) for x in tokens(text)], dtype=np.int64)
+
     def diagonals(self, ids: np.ndarray) -> set[tuple[int, int]]:
         """(item, token where it would begin) of all hits in a document's tokens."""
         known = ids > 0
@@ -120,27 +124,31 @@ class Seeds:
         return out
 
 
+def blocks_of(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Seeds]:
+    """The benchmark's items with their seeds, in blocks of about ``block`` tokens."""
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
+    size = items.agg(F.sum(F.size(F.split("text", r"\W+")) + 1)).first()[0] or 0
+    blocks = -(-size // block) or 1
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        yield Seeds([(r["item_id"], r["text"]) for r in part])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, contaminated, item_ids (sorted), similarity (of the best
     passage, else 0) and passages (item_id, similarity, token, n_tokens)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     passage = "struct<item_id:bigint,similarity:double,token:int,n_tokens:int>"
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
-    size = items.agg(F.sum(F.size(F.split("text", r"\W+")) + 1)).first()[0] or 0
-    blocks = -(-size // block) or 1
-    # each pass adds its block's passages to those of the passes before
     found = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        seeds = Seeds([(r["item_id"], r["text"]) for r in part])
+    for seeds in blocks_of(benchmark, block):
 
         def search(batches: Iterable[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            number = seeds.number.get
+            # each pass adds its block's passages to those of the passes before
             for batch in slices(batches, "text"):
                 out = []
                 for text in strings(batch.column("text")):
-                    ids = np.array([number(x, 0) for x in tokens(text)], dtype=np.int64)
-                    out.append([dict(zip(("item_id", "similarity", "token", "n_tokens"), p)) for p in seeds.passages(ids, span, similarity)])
+                    own = seeds.passages(seeds.number_all(text), span, similarity)
+                    out.append([dict(zip(("item_id", "similarity", "token", "n_tokens"), p)) for p in own])
                 struct = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("token", pa.int32()), ("n_tokens", pa.int32())])
                 held = pa.array(out, pa.list_(struct))
                 if "passages" in batch.schema.names:
@@ -153,3 +161,18 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: fl
     return found.select(
         "doc_id", (F.size("passages") > 0).alias("contaminated"), F.array_sort(F.array_distinct("passages.item_id")).alias("item_ids"),
         F.coalesce(F.array_max("passages.similarity"), F.lit(0.0)).alias("similarity"), "passages")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The documents without any passage of the benchmark, with all their columns.
+
+    A block at a time filters the rows where they are; nothing is shuffled.
+    """
+    for seeds in blocks_of(benchmark, block):
+
+        def each(batches: Iterable[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                yield batch.filter(pa.array([not seeds.passages(seeds.number_all(x), span, similarity) for x in strings(batch.column("text"))], pa.bool_()))
+
+        docs = docs.mapInArrow(each, docs.schema)
+    return docs
