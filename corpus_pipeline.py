@@ -23,10 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (five-word shingles, similarity about 0.8) the
     document with the smallest doc_id."""
-    classes = simhash.near_copies(docs.where("doc_id is not null"), shingle=5, similarity=0.8)
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return unique.join(others, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return simhash.keep_first(docs, simhash.near_copies(docs, shingle=5, similarity=0.8))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
