@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from packetcheck.catalog.derived import Tables
 from packetcheck.catalog.registry import query
 from packetcheck.operators.portal import (
-    collected_items, detail_records, first_items, page_progress,
+    collected, collected_items, detail_records, first_items, page_progress,
     reject_reason, split_skipped, todo_lists, todo_rows, with_choice,
 )
 
@@ -24,7 +24,7 @@ _SHOWN = """
     progress as (
         select p.category, p.page_no,
                (select count(*) from firsts f where f.category = p.category and f.page_no = p.page_no) as fresh
-        from pages p where p.page_no <= 200
+        from pages p
     ),
     loaded as (
         select *, cast(sum(fresh) over (partition by category order by page_no) as bigint) as loaded from progress
@@ -52,15 +52,42 @@ def todo_progress(t: Tables) -> DataFrame:
     stops as (select category, min(page_no) as stop_page from ends where ends group by category)
     select f.category, case when k % 10 = 3 then '' else 't' || k end as fd_id, '项目号：BHE-' || k as subject,
            '/d/' || k as detail_path, f.page_no
-    from firsts f left join stops s on s.category = f.category where f.page_no <= coalesce(stop_page, 200)
+    from firsts f left join stops s on s.category = f.category where f.page_no <= coalesce(stop_page, f.page_no)
 """)
 def todo_items(t: Tables) -> DataFrame:
-    items = collected_items(todo_lists(t.todo_pages))
+    items = collected_items(t.todo_pages)
     return items.select(
         "category", "fd_id", "subject", "detail_path", F.col("page_no").cast("bigint").alias("page_no")
     )
 
 
+@query("todo_ends", f"""
+    with {_SHOWN},
+    bad as (
+        select category, min(page_no) as page_no from pages
+        where (category in ('1-URGENT', '2-HIGH') and page_no % 7 = 3) or (category = '3-MEDIUM' and page_no % 6 = 5)
+        group by category
+    ),
+    done as (select category, min(page_no) as page_no from progress where fresh = 0 group by category),
+    last as (select category, max(page_no) as page_no from pages group by category)
+    select l.category, least(coalesce(b.page_no - 1, l.page_no), coalesce(d.page_no, l.page_no)) as stop_page,
+           case when d.page_no < coalesce(b.page_no, d.page_no + 1) then 'complete' when b.page_no is null then 'open'
+                when l.category = '3-MEDIUM' then 'login_page' else 'missing_page' end as end_reason
+    from last l left join bad b on b.category = l.category left join done d on d.category = l.category
+""")
+def todo_ends(t: Tables) -> DataFrame:
+    """One category lacks a page, one has a login page; no page says how many there are."""
+    no, category = F.col("page_no"), F.col("category")
+    login = F.lit("<html><head><title>登录</title></head></html>")
+    body = F.regexp_replace("body", '"(totalPage|pageCount|total)":("[^"]*"|[0-9]+),', "")
+    pages = t.todo_pages.filter(~(category.isin("1-URGENT", "2-HIGH") & (no % 7 == 3))).withColumn(
+        "body", F.when((category == "3-MEDIUM") & (no % 6 == 5), login).otherwise(body)
+    )
+    return collected(pages)[1].select(
+        "category", F.col("stop_page").cast("bigint").alias("stop_page"), "end_reason"
+    )
+
+
 @query("todo_rejects", f"""
     with {_SHOWN}
     select category, page_no, case page_no % 6 when 1 then 'login_page' when 2 then 'no_datas'

@@ -430,7 +430,7 @@ def rules_supplier_customer(t: Tables) -> DataFrame:
     pairs = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey"))
     rules = [
         FieldRule("nation", F.col("s_nationkey").cast("string"), F.col("c_nationkey").cast("string")),
-        FieldRule("number", F.col("s_name"), F.col("c_name"), lambda c: F.substring(c, 10, 99)),
+        FieldRule("number", F.col("s_name"), F.col("c_name"), lambda c: F.substr(c, F.lit(10))),
     ]
     found = exploded_failures(reconcile(pairs, rules), "s_name", "s_nationkey", "c_nationkey")
     return found.select(
@@ -443,15 +443,15 @@ def rules_supplier_customer(t: Tables) -> DataFrame:
     select d.doc_id, 'lang' as field_name, lang as left_value from documents d join labels l on l.doc_id = d.doc_id
     where not (case when quality = 1 then lang in ('en', 'de') else false end)
     union all
-    select d.doc_id, 'head', substr({duck.compact('text')}, 1, 5) from documents d join labels l on l.doc_id = d.doc_id
-    where lower(substr({duck.compact('text')}, 1, 5)) <> lower(lang)
+    select d.doc_id, 'head', {duck.compact('text')} from documents d join labels l on l.doc_id = d.doc_id
+    where lower({duck.compact('text')}) <> lower(lang)
 """)
 def rules_documents_labels(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id")
     allowed = F.when(F.col("quality") == 1, F.array(F.lit("en"), F.lit("de"))).otherwise(
         F.array().cast("array<string>")
     )
-    head = F.substring(compact_text(F.col("text")), 1, 5)
+    head = compact_text(F.col("text"))
     rules = [
         CandidateRule("lang", F.col("lang"), allowed),
         FieldRule("head", head, F.col("lang"), lambda c: F.lower(normalize_text(c))),

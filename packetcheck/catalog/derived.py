@@ -150,12 +150,12 @@ SQL = {
                        || {text('event_id % 7')} || ' | 错误=' || {text('event_id % 3')}
                    when 'click' then '[运行] 第 ' || {text('event_id')} || ' 行'
                    when 'signup' then '[缓存] 命中 ' || {text('event_id')}
-                   else substr('[项目比对] {{{{"projectName":"P' || {text('event_id')} || '","passed":'
+                   else left('[项目比对] {{{{"projectName":"P' || {text('event_id')} || '","passed":'
                        || case when event_type = 'purchase' then 'true' else 'false' end
                        || ',"rows":[{{{{"fileName":"网页","projectCode":"❌"}}}},{{{{"fileName":"比对结果","projectCode":"'
                        || case when user_id % 2 = 0 then '❌' else '✅' end
                        || '","contactPhone":"' || case when user_id % 3 = 0 then '❌' else '—' end
-                       || '"}}}}]}}}}', 1, case when event_id % 50 = 0 then 60 else 1000 end)
+                       || '"}}}}]}}}}', case when event_id % 50 = 0 then 60 else 2147483647 end)
                end as message
         from {{events}}
     """,

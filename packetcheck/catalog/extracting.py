@@ -183,7 +183,7 @@ def candidate_sets(t: Tables) -> DataFrame:
 
 @query("stamp_pages", """
     select cast(l_orderkey as string) as project_name, cast(l_linenumber as bigint) as page,
-           count(*) as sampled, count(*) filter (l_returnflag = 'R' and l_orderkey % 2 = 0) as red,
+           count(*) as counted, count(*) filter (l_returnflag = 'R' and l_orderkey % 2 = 0) as red,
            count(*) filter (l_returnflag = 'R' and l_orderkey % 2 = 0) * 100 >= count(*) as stamped
     from lineitem group by l_orderkey, l_linenumber
 """)
@@ -191,7 +191,7 @@ def stamp_pages(t: Tables) -> DataFrame:
     red = (F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 2 == 0)
     pixels = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("project_name"),
-        F.col("l_linenumber").cast("bigint").alias("page"), F.lit(0).alias("idx"),
+        F.col("l_linenumber").cast("bigint").alias("page"),
         F.when(red, 200).otherwise(100).alias("r"), F.lit(60).alias("g"), F.lit(60).alias("b"),
     )
     return page_ratios(pixels)
@@ -199,21 +199,17 @@ def stamp_pages(t: Tables) -> DataFrame:
 
 @query("stamp_large_pages", """
     with px as (
-        select l_returnflag as project_name, l_linestatus as page, l_orderkey * 8 + l_linenumber as idx,
-               cast(100 + l_quantity * 3 as int) as r, cast(l_partkey % 200 as int) as g, cast(l_suppkey % 150 as int) as b
+        select l_returnflag as project_name, l_linestatus as page, cast(100 + l_quantity * 3 as int) as r, cast(l_partkey % 200 as int) as g, cast(l_suppkey % 150 as int) as b
         from lineitem
-    ),
-    n as (select project_name, page, greatest(1, cast(floor(count(*) / 5000) as bigint)) as step from px group by 1, 2)
-    select px.project_name, px.page, count(*) as sampled,
+    )
+    select px.project_name, px.page, count(*) as counted,
            count(*) filter (r >= 180 and r > least(g + 40, 255) and r > least(b + 40, 255)) as red,
            count(*) filter (r >= 180 and r > least(g + 40, 255) and r > least(b + 40, 255)) * 1.0e0 / count(*) >= 0.01e0 as stamped
-    from px join n on n.project_name = px.project_name and n.page = px.page
-    where idx % step = 0 group by 1, 2
+    from px group by 1, 2
 """)
 def stamp_large_pages(t: Tables) -> DataFrame:
     pixels = t.lineitem.select(
         F.col("l_returnflag").alias("project_name"), F.col("l_linestatus").alias("page"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"),
         (100 + F.col("l_quantity") * 3).cast("int").alias("r"),
         (F.col("l_partkey") % 200).cast("int").alias("g"),
         (F.col("l_suppkey") % 150).cast("int").alias("b"),
@@ -228,7 +224,7 @@ def stamped_packets(t: Tables) -> DataFrame:
     red = (F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 2 == 0)
     pixels = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("project_name"),
-        F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("idx"),
+        F.col("l_linenumber").alias("page"),
         F.when(red, 200).otherwise(100).alias("r"), F.lit(60).alias("g"), F.lit(60).alias("b"),
     )
     amounts = t.orders.select(

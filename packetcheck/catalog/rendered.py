@@ -91,6 +91,7 @@ def report_pages(sides: DataFrame) -> DataFrame:
         F.when(k % 3 == 0, "签字人姓名：").otherwise("签字/盖章：").cast("string"),
         F.col("rep_name"),
         F.when(k % 2 == 0, " 联系电话 ").otherwise(" 电话：").cast("string"),
+        F.when(k % 59 == 2, F.repeat(F.lit("（移动 手机）"), 9)).otherwise(""),
         "rep_phone", F.lit("\n日期 "), date,
     )
     pages = F.array(
@@ -154,7 +155,8 @@ def cells(sides: DataFrame) -> DataFrame:
     def word(w: str) -> Column:
         return value("string", F.lit(w), none)
 
-    head, one = k % 4, F.lit(1)
+    # some headers stand far down the sheet
+    head, one = F.when(k % 101 == 7, 30 + k % 4).otherwise(k % 4), F.lit(1)
     placed = [cell(0, F.lit(0), F.lit(0), word("封面"))]
     header = mode >= 2
     placed += [
@@ -313,6 +315,8 @@ def detail_pages(sides: DataFrame) -> DataFrame:
         F.lit("<html><body><table><tr><td><label>项目编号</label></td>\n<td>"), code_cell,
         F.lit("</td></tr><tr><td>项目名称</td><td> <b>"), name_cell,
         F.lit("</b>&nbsp;</td></tr></table><p>关闭依据附件</p><script>\n"),
+        # in some pages the attachments stand far behind their heading
+        F.when(k % 499 == 3, F.repeat(F.lit("x"), 40_000)).otherwise(""),
         F.array_join(calls, ""), F.lit("</script></body></html>"),
     )
     subject = F.when(k % 24 == 5, "无").otherwise(F.concat(F.lit("项目号："), F.lower("code")))

@@ -100,6 +100,9 @@ _CELL = """
                    when 4 then 'TRUE' end as s,
                case k % 6 when 1 then 46000 + k % 90 when 2 then 46000 + k % 90 when 3 then k % 90 + 0.5 end as n
         from packet_base
+        union all
+        select -1, '备注项', 'float', null, 12345678.5 union all select -2, '备注项', 'float', null, 0.0005
+        union all select -3, '备注项', 'int', null, 10000000000000000000 union all select -4, '验收日期', 'datetime', '无', 5000000000
     )
 """
 
@@ -110,8 +113,8 @@ _CELL = """
                    when kind = 'bool' then 'bool' when kind = 'float' and n <> floor(n) then 'number'
                    when kind = 'empty' then '∅' else 'string' end as kind,
            case when kind = 'empty' then '∅'
-                when label = '验收日期' and n >= 20000 then strftime(date '1899-12-30' + cast(floor(n) as int), '%Y-%m-%d')
-                when kind = 'int' or (kind = 'float' and n = floor(n)) then cast(cast(n as bigint) as string)
+                when label = '验收日期' and n between 20000 and 80000 then strftime(date '1899-12-30' + cast(floor(n) as int), '%Y-%m-%d')
+                when kind = 'int' or (kind = 'float' and n = floor(n)) then cast(cast(n as decimal(38,0)) as string)
                 when kind = 'float' then cast(cast(n as double) as string) when kind = 'bool' then 'true' else s end as s,
            kind <> 'empty' and not (kind = 'string' and (s = ' 备注 ' or s = '项目 经理：')) as meaningful
     from c

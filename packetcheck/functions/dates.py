@@ -34,5 +34,6 @@ def first_date(*candidates: Column) -> Column:
 
 
 def excel_serial_date(n: Column) -> Column:
-    """Date of a spreadsheet day number."""
-    return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int"))
+    """Date of a spreadsheet day number; null outside the years 1 to 9999."""
+    day = F.when(n.between(-693_593, 2_958_465), F.floor(n)).cast("int")
+    return F.date_add(F.lit("1899-12-30").cast("date"), day)

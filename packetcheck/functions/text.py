@@ -73,10 +73,10 @@ def value_after_first(text: Column, label: str, stops: list[str]) -> Column:
     return _strip_colon(F.regexp_extract(text, _labelled(label, stops), 1))
 
 
-def text_after(text: Column, label: str, length: int) -> Column:
-    """``length`` characters behind the first ``label``; null if absent."""
+def text_after(text: Column, label: str) -> Column:
+    """All behind the first ``label``; null if absent."""
     at = F.instr(text, F.lit(label))
-    return F.when(at > 0, F.substr(text, at + len(label), F.lit(length)))
+    return F.when(at > 0, F.substr(text, at + len(label)))
 
 
 def _labelled(label: str, stops: list[str]) -> str:

@@ -54,12 +54,19 @@ def as_fraction(number: Column) -> Column:
 
 # --- cells ------------------------------------------------------------------
 
+def plain_number(n: Column) -> Column:
+    """Shortest decimal text of a number, without an exponent where it fits 38 digits."""
+    text = n.cast("string")
+    exact = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(text.contains("E") & (F.abs(n) >= 1e-17), F.coalesce(exact, text)).otherwise(text)
+
+
 def cell_string(kind: Column, s: Column, n: Column) -> Column:
     """Cell content as text; whole numbers without a fraction part."""
     whole = (kind == "int") | ((kind == "float") & (n == F.floor(n)))
     return (
-        F.when(whole, n.cast("bigint").cast("string"))
-        .when(kind == "float", n.cast("string"))
+        F.when(whole, F.coalesce(n.try_cast("decimal(38,0)").cast("string"), n.cast("string")))
+        .when(kind == "float", plain_number(n))
         .when(kind == "bool", F.lower(s))
         .when(kind == "datetime", F.coalesce(s, n.cast("string")))
         .when(kind != "empty", s)
@@ -88,7 +95,7 @@ def cell_day(label: Column, kind: Column, s: Column, n: Column, text: Column) ->
             (kind == "datetime") | (kind.isin("int", "float") & n.between(20_000, 80_000)),
             excel_serial_date(n),
         )
-        .when(kind == "datetime_iso", F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+        .when(kind == "datetime_iso", F.try_to_date(F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1), "yyyy-MM-dd"))
     )
     return F.when(
         label.rlike("日期|时间"), F.coalesce(parse_date(text), serial).cast("string")

@@ -19,9 +19,9 @@ from packetcheck.functions.values import (
 )
 
 SHEET = ["project_name", "sheet_idx"]
-HEADER_ROWS = 20
+# a content header may stand this far right of its field header, a label's value
+# this far right of the label or else this far below; all are arguments
 HEADER_REACH = 4
-# a label's value may stand this far right of it, or else this far below
 RIGHT_REACH = 5
 DOWN_REACH = 3
 COLUMNS = 1 << 20  # more than any sheet format has
@@ -31,10 +31,10 @@ def _bare(label: str) -> str:
     return label.translate(str.maketrans("", "", "\n\r 　:：")).strip()
 
 
-def marker_cells(cells: DataFrame) -> DataFrame:
+def marker_cells(cells: DataFrame, header_reach: int = HEADER_REACH) -> DataFrame:
     """Cells that are a known label, a field header or a content header.
 
-    A content header is repeated at the four addresses left of it, where it
+    A content header is repeated at the addresses left of it in reach, where it
     would serve a field header; ``value_col`` says where it really stands.
     """
     text = F.col("text")
@@ -47,13 +47,10 @@ def marker_cells(cells: DataFrame) -> DataFrame:
         (text == vocab.CONTENT_HEADER).alias("is_content"),
     )
     known = [_bare(label) for label in vocab.REGISTRY_LABELS]
-    top = F.col("row") < HEADER_ROWS
-    kept = marked.filter(
-        F.col("label").isin(known) | (top & (F.col("is_field") | F.col("is_content")))
-    )
+    kept = marked.filter(F.col("label").isin(known) | F.col("is_field") | F.col("is_content"))
     at = F.when(
         F.col("is_content"),
-        F.sequence(F.col("col") - HEADER_REACH, F.col("col") - 1),
+        F.sequence(F.col("col") - header_reach, F.col("col") - 1),
     ).otherwise(F.array("col"))
     return kept.select(
         *SHEET, "row", F.explode_outer(at).alias("at"), "label", "is_field",
@@ -61,13 +58,13 @@ def marker_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def sheet_layouts(cells: DataFrame) -> DataFrame:
+def sheet_layouts(cells: DataFrame, header_reach: int = HEADER_REACH) -> DataFrame:
     """Header and label positions of each sheet; ``labels`` maps place to label.
 
     The header is the topmost-leftmost field header with a content header in
     reach; of each known label the first cell, row by row, counts.
     """
-    places = marker_cells(cells).groupBy(*SHEET, "row", "at").agg(
+    places = marker_cells(cells, header_reach).groupBy(*SHEET, "row", "at").agg(
         F.bool_or("is_field").alias("is_field"),
         F.min("value_col").alias("value_col"),
         F.max(F.when(F.col("value_col").isNull(), F.col("label"))).alias("label"),
@@ -79,15 +76,15 @@ def sheet_layouts(cells: DataFrame) -> DataFrame:
     is_header = F.col("is_field") & F.col("value_col").isNotNull()
     labels = vocab.REGISTRY_LABELS
     found = places.groupBy(*SHEET).agg(
-        F.min(F.when(is_header, place * (HEADER_REACH + 1) + offset)).alias("header"),
+        F.min(F.when(is_header, place * (header_reach + 1) + offset)).alias("header"),
         *[F.min(F.when(F.col("label") == _bare(x), place)).alias(x) for x in labels],
     )
-    at = F.floor(F.col("header") / (HEADER_REACH + 1)).cast("bigint")
+    at = F.floor(F.col("header") / (header_reach + 1)).cast("bigint")
     header = F.when(
         F.col("header").isNotNull(),
         F.struct(
             _row_of(at).alias("row"), _col_of(at).alias("col"),
-            (_col_of(at) + F.col("header") % (HEADER_REACH + 1)).cast("int").alias("value_col"),
+            (_col_of(at) + F.col("header") % (header_reach + 1)).cast("int").alias("value_col"),
         ),
     )
     places = F.filter(
@@ -122,7 +119,9 @@ def chosen_layouts(layouts: DataFrame) -> DataFrame:
 HIT = "struct<row:int,label:string,rank:int,is_label:boolean>"
 
 
-def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
+def layout_hits(
+    cells: DataFrame, layouts: DataFrame, right_reach: int = RIGHT_REACH, down_reach: int = DOWN_REACH
+) -> DataFrame:
     """Cells the layouts point at: under the header, or next to a label.
 
     Under the header a hit belongs to a row, next to a label to that label;
@@ -141,7 +140,7 @@ def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
         F.coalesce(under, F.lit(False)), F.struct(row, none, none, col == c("header.col")),
     )]
     # look for a label at each place this cell would be a neighbour of
-    back = [*range(1, RIGHT_REACH + 1), *(COLUMNS * d for d in range(1, DOWN_REACH + 1))]
+    back = [*range(1, right_reach + 1), *(COLUMNS * d for d in range(1, down_reach + 1))]
     for rank, distance in enumerate(back):
         label = F.try_element_at("labels", place - distance)
         found.append((c("ok") & label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
@@ -153,14 +152,18 @@ def layout_hits(cells: DataFrame, layouts: DataFrame) -> DataFrame:
     return hits.filter(F.col("hit").isNotNull()).select("project_name", "kind", "s", "n", "hit.*")
 
 
-def registry_fields(cells: DataFrame) -> DataFrame:
+def registry_fields(
+    cells: DataFrame, header_reach: int = HEADER_REACH, right_reach: int = RIGHT_REACH,
+    down_reach: int = DOWN_REACH,
+) -> DataFrame:
     """``project_name, label, value`` of each project's registry sheet.
 
     Rows under the header come first, the last one of a label winning; labels
     they leave open take the first meaningful neighbour.
     """
     c = F.col
-    hits = layout_hits(cells, chosen_layouts(sheet_layouts(cells)))
+    layouts = chosen_layouts(sheet_layouts(cells, header_reach))
+    hits = layout_hits(cells, layouts, right_reach, down_reach)
     valued = with_cell_value(hits, c("label"), c("kind"), c("s"), c("n"))
     cell = F.struct("kind", "s", "n")
     paired = valued.groupBy("project_name", "row", "label").agg(

@@ -17,6 +17,8 @@ from packetcheck.session import stored
 
 # --- to-do lists ------------------------------------------------------------
 
+PAGE_RANGE = 1_000
+
 
 def reject_reason(body: Column) -> Column:
     """Why a to-do list response is unusable; null if it is fine."""
@@ -97,51 +99,91 @@ def first_items(rows: DataFrame) -> DataFrame:
 
 
 def page_progress(lists: DataFrame, items: DataFrame) -> DataFrame:
-    """Per list page: its new items, all loaded so far, and whether paging ends there.
+    """Per list page: its new items, all loaded so far, whether paging ends there, and
+    whether it is ``reached``: it and all pages before it are there and usable.
 
     Paging ends on an empty page, one without anything new, the last page by
-    its number, or when all announced items are loaded. The window runs over
-    page summaries, at most 200 per category, never over items.
+    its number, or when all announced items are loaded. The sums run over page
+    summaries, never over items: within ranges of pages, and over the ranges.
     """
     fresh = items.groupBy("category", "page_no").agg(F.count("*").alias("fresh"))
+    span = F.floor(F.col("page_no") / PAGE_RANGE)
     pages = (
-        lists.filter(F.col("page_no") <= vocab.TODO_PAGE_LIMIT)
-        .select("category", "page_no", "total_count", "total_pages")
+        lists.groupBy("category", "page_no")
+        .agg(F.max("total_count").alias("total_count"), F.max("total_pages").alias("total_pages"))
         .join(fresh, ["category", "page_no"], "left")
         .na.fill(0, ["fresh"])
+        .withColumn("range", span)
+    )
+    ranges = pages.groupBy("category", "range").agg(
+        F.sum("fresh").alias("items"), F.count("*").alias("pages")
     )
-    so_far = Window.partitionBy("category").orderBy("page_no").rowsBetween(
+    before = Window.partitionBy("category").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "category", "range",
+        *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("items", "pages")],
+    )
+    within = Window.partitionBy("category", "range").orderBy("page_no").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    loaded = F.sum("fresh").over(so_far)
+    pages = pages.join(ranges, ["category", "range"])
+    loaded = F.col("items_before") + F.sum("fresh").over(within)
+    reached = F.col("pages_before") + F.count("*").over(within) == F.col("page_no")
     by_pages = (F.col("total_pages") > 0) & (F.col("page_no") >= F.col("total_pages"))
     by_count = (F.col("total_count") > 0) & (F.col("loaded") >= F.col("total_count"))
     ends = (F.col("fresh") == 0) | F.coalesce(by_pages, F.lit(False)) | F.coalesce(
         by_count, F.lit(False)
     )
-    return pages.withColumn("loaded", loaded).withColumn("ends", ends)
+    summed = pages.withColumns({"loaded": loaded, "reached": reached})
+    return summed.withColumn("ends", ends).drop("range", "items_before", "pages_before")
 
 
-def collected_items(lists: DataFrame) -> DataFrame:
-    """De-duplicated items up to the page where paging ends in each category.
+def paging_ends(pages: DataFrame, progress: DataFrame) -> DataFrame:
+    """Per category its last page, and why collecting ends behind it.
 
-    The items are stored: where paging ends depends on all of them.
+    ``end_reason`` is ``complete`` where paging ends by itself. A page that is
+    rejected or absent ends its category too: then it is the page's reject reason,
+    or ``missing_page``; ``open`` means that no further page is known.
     """
-    items = stored(first_items(todo_rows(lists)), "todo-items")
-    stops = (
-        page_progress(lists, items)
-        .filter("ends")
-        .groupBy("category")
-        .agg(F.min("page_no").alias("stop_page"))
+    done = F.when(F.col("ends") & F.col("reached"), F.col("page_no"))
+    ends = progress.groupBy("category").agg(
+        F.min(done).alias("done"), F.max(F.when(F.col("reached"), F.col("page_no"))).alias("last")
     )
-    within = F.coalesce("stop_page", F.lit(vocab.TODO_PAGE_LIMIT))
-    return (
-        items.join(stops, "category", "left")
-        .filter(F.col("page_no") <= within)
-        .drop("stop_page")
+    known = pages.groupBy("category").agg(F.max("page_no").alias("known"))
+    ends = known.join(ends, "category", "left").select(
+        "category", "known", F.col("done").isNotNull().alias("is_done"),
+        F.coalesce("done", "last", F.lit(0)).alias("stop_page"),
+    )
+    rejected = pages.select(
+        "category", F.col("page_no").alias("bad_page"), reject_reason(F.col("body")).alias("why")
+    ).filter(F.col("why").isNotNull()).groupBy("category", "bad_page").agg(F.min("why").alias("why"))
+    at = (ends["category"] == rejected["category"]) & (ends["stop_page"] + 1 == rejected["bad_page"])
+    reason = (
+        F.when(F.col("is_done"), "complete").when(F.col("why").isNotNull(), F.col("why"))
+        .when(F.col("known") > F.col("stop_page"), "missing_page").otherwise("open")
+    )
+    return ends.join(rejected, at, "left").select(
+        ends["category"], "stop_page", reason.alias("end_reason")
     )
 
 
+def collected(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """De-duplicated items up to the page where each category ends, and the ends.
+
+    The items are stored: where paging ends depends on all of them.
+    """
+    lists = todo_lists(pages)
+    items = stored(first_items(todo_rows(lists)), "todo-items")
+    ends = paging_ends(pages, page_progress(lists, items))
+    kept = items.join(ends.select("category", "stop_page"), "category")
+    return kept.filter(F.col("page_no") <= F.col("stop_page")).drop("stop_page"), ends
+
+
+def collected_items(pages: DataFrame) -> DataFrame:
+    """The items of ``collected``."""
+    return collected(pages)[0]
+
+
 # --- detail pages -----------------------------------------------------------
 
 _QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
@@ -157,9 +199,9 @@ ATTACHMENTS_TYPE = (
 
 
 def announced(html: Column, section: str = vocab.ATTACHMENT_SECTION) -> Column:
-    """Attachments a page section announces, in page order."""
+    """Attachments announced from a page section on to the page's end, in page order."""
     at = F.instr(html, F.lit(section))
-    part = F.when(at > 0, F.substr(html, at, F.lit(vocab.ATTACHMENT_SECTION_SIZE)))
+    part = F.when(at > 0, F.substr(html, at))
     calls = F.regexp_extract_all(part, F.lit(_ADD_DOC), 0)
 
     def attachment(call: Column) -> Column:

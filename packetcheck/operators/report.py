@@ -8,7 +8,7 @@ from packetcheck import vocab
 from packetcheck.functions.dates import parse_date
 from packetcheck.functions.pages import code_in_report
 from packetcheck.functions.text import (
-    blank_to_null, normalize_text, phone_digits, text_after, value_after_first,
+    blank_to_null, normalize_text, phone_digits, value_after_first,
 )
 
 REPORT_TYPE = (
@@ -21,7 +21,7 @@ SIGNER_RULES = [
     ("签字/盖章", ["签字/盖章", "联系电话", "电话", "签字时间", "日期"]),
 ]
 PHONE_LABELS = ["联系电话", "电话"]
-PHONE_REACH = 40
+PHONE_STOPS = ["签字人姓名", "签字/盖章", "联系电话", "电话", "签字时间", "日期"]
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
@@ -41,9 +41,10 @@ def signer_name(text: Column) -> Column:
 
 
 def signer_phone(text: Column) -> Column:
+    """First mobile number between a phone label and the next label or the end."""
     tries = []
     for label in PHONE_LABELS:
-        digits = phone_digits(text_after(text, label, PHONE_REACH))
+        digits = phone_digits(value_after_first(text, label, PHONE_STOPS))
         tries.append(blank_to_null(F.regexp_extract(digits, vocab.PHONE, 0)))
     return F.coalesce(*tries, F.lit(""))
 

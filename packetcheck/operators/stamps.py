@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packetcheck import vocab
 from packetcheck.functions.values import parse_amount
 
-TILE = 65_536
 PAGE = ["project_name", "page"]
 
 
@@ -28,33 +27,13 @@ def is_red(r: Column, g: Column, b: Column) -> Column:
 
 
 def page_ratios(pixels: DataFrame) -> DataFrame:
-    """``sampled, red, stamped`` per page of ``project_name, page, idx, r, g, b``.
+    """``counted, red, stamped`` per page of ``project_name, page, r, g, b``.
 
-    Every ``max(1, n / 5000)``-th pixel counts. The step depends on the page
-    size, so sizes are counted first and brought to the pixels by tile: a page
-    of any size then spreads over as many join keys as it has tiles.
+    Every pixel counts; the counts combine before their only shuffle.
     """
-    tile = F.floor(F.col("idx") / TILE).cast("int")
-    sizes = (
-        pixels.groupBy(*PAGE)
-        .agg(F.count("*").alias("n"), F.max("idx").alias("last"))
-        .select(
-            *PAGE,
-            F.greatest(F.lit(1), F.floor(F.col("n") / vocab.PIXEL_SAMPLES)).alias("step"),
-            F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / TILE).cast("int"))).alias("tile"),
-        )
-    )
     red = is_red(F.col("r"), F.col("g"), F.col("b"))
-    sampled = (
-        pixels.withColumn("tile", tile)
-        .join(sizes, [*PAGE, "tile"])
-        .filter(F.col("idx") % F.col("step") == 0)
-    )
-    counted = sampled.groupBy(*PAGE).agg(
-        F.count("*").alias("sampled"), F.count_if(red).alias("red")
-    )
-    enough = F.col("red") / F.col("sampled") >= vocab.RED_RATIO
-    return counted.withColumn("stamped", enough)
+    counts = pixels.groupBy(*PAGE).agg(F.count("*").alias("counted"), F.count_if(red).alias("red"))
+    return counts.withColumn("stamped", F.col("red") / F.col("counted") >= vocab.RED_RATIO)
 
 
 def image_ratios(images: DataFrame) -> DataFrame:
@@ -66,30 +45,29 @@ def image_ratios(images: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sampled, red = [], []
+            counted, red = [], []
             for height, width, channels, data in zip(
                 batch["height"], batch["width"], batch["channels"], batch["data"]
             ):
                 n = height * width
                 raster = np.frombuffer(data, np.uint8).reshape(n, channels).astype(np.int16)
-                taken = raster[:: max(1, n // vocab.PIXEL_SAMPLES)]
-                blue, green, rd = (taken[:, min(i, channels - 1)] for i in range(3))
+                blue, green, rd = (raster[:, min(i, channels - 1)] for i in range(3))
                 hit = (
                     (rd >= 180)
                     & (rd > np.minimum(green + 40, 255))
                     & (rd > np.minimum(blue + 40, 255))
                 )
-                sampled.append(len(taken))
+                counted.append(n)
                 red.append(int(hit.sum()))
-            yield batch[PAGE].assign(sampled=sampled, red=red)
+            yield batch[PAGE].assign(counted=counted, red=red)
 
     flat = images.select(
         *PAGE, "image.height", "image.width",
         F.col("image.nChannels").alias("channels"), "image.data",
     )
     kinds = {f.name: f.dataType.simpleString() for f in images.schema}
-    schema = f"project_name {kinds['project_name']}, page {kinds['page']}, sampled bigint, red bigint"
-    ratio = F.try_divide("red", "sampled") >= vocab.RED_RATIO
+    schema = f"project_name {kinds['project_name']}, page {kinds['page']}, counted bigint, red bigint"
+    ratio = F.try_divide("red", "counted") >= vocab.RED_RATIO
     return flat.mapInPandas(count, schema).withColumn("stamped", F.coalesce(ratio, F.lit(False)))
 
 

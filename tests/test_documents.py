@@ -89,7 +89,7 @@ WANT = {
     ("right", "项目编号"): "N", ("right", "项目全称"): "N",
     ("below", "核实人"): "D",
     ("gap", "项目经理"): "P", ("gap", "核实人"): "H",
-    ("late", "产品线"): "L",
+    ("late", "自定"): "v", ("late", "产品线"): "L",
 }
 
 
@@ -141,12 +141,26 @@ def test_todo_rows_and_paging(spark):
         ("c", 1, body([item("", "/q"), item("", "/q"), item("", "/r")], ',"totalPages":"1"')), ("c", 2, body([item(9)])),
         ("d", 1, body([item(1)], ',"totalPage":0,"pageCount":2.5')), ("d", 2, body([item(2)])), ("d", 201, body([item(3)])),
     ]
-    rows = portal.collected_items(portal.todo_lists(todo(spark, pages))).collect()
+    rows = portal.collected_items(todo(spark, pages)).collect()
     got = sorted((r.category, r.detail_path) for r in rows)
     assert got == [("a", "/p1"), ("a", "/p2"), ("a", "/p3"), ("b", "/p1"),
                    ("c", "/q"), ("c", "/r"), ("d", "/p1"), ("d", "/p2")]
 
 
+def test_paging_ends_at_bad_and_missing_pages(spark):
+    def body(i):
+        return '{"datas":[' + item(i) + "]}"
+
+    login = "<html><head><title>登录</title></head></html>"
+    pages = [("a", 1, body(1)), ("a", 2, login), ("a", 3, body(3)), ("b", 1, body(1)), ("b", 3, body(3)),
+             ("c", 1, login), ("d", 2, body(2))] + [("e", n, body(n)) for n in range(1, 2301)]
+    items, ends = portal.collected(todo(spark, pages))
+    got = {r.category: (r.stop_page, r.end_reason) for r in ends.collect()}
+    assert got == {"a": (1, "login_page"), "b": (1, "missing_page"), "c": (0, "login_page"), "d": (0, "missing_page"), "e": (2300, "open")}
+    counts = {r["category"]: r["count"] for r in items.groupBy("category").count().collect()}
+    assert counts == {"a": 1, "b": 1, "e": 2300}
+
+
 def test_todo_rejects(spark):
     bodies = ["<title>Login</title>", "<html>", '{"datas":{}}', '{"datas":[],"m":"会话失效"}', '{"datas":[]} ', '{"datas":[]} x']
     df = todo(spark, [("a", i, b) for i, b in enumerate(bodies)])

@@ -122,10 +122,8 @@ def test_verdict_ladder(spark):
 
 
 def brute_red(pixels):
-    step = max(1, len(pixels) // 5000)
-    taken = pixels[::step]
-    hit = [r >= 180 and r > min(g + 40, 255) and r > min(b + 40, 255) for r, g, b in taken]
-    return len(taken), sum(hit)
+    hit = [r >= 180 and r > min(g + 40, 255) and r > min(b + 40, 255) for r, g, b in pixels]
+    return len(pixels), sum(hit)
 
 
 def write_png(path, raster):
@@ -156,10 +154,10 @@ def test_images_and_pixels(spark, tmp_path):
         want[project] = brute_red(pixels)
         pixel_rows += [(project, 1, i, *p) for i, p in enumerate(pixels)]
     images = tables.page_images(spark, str(tmp_path))
-    got = {r.project_name: (r.sampled, r.red) for r in stamps.image_ratios(images).collect()}
+    got = {r.project_name: (r.counted, r.red) for r in stamps.image_ratios(images).collect()}
     assert got == want
     df = spark.createDataFrame(pixel_rows, tables.SCHEMAS["pixels"])
-    assert {r.project_name: (r.sampled, r.red) for r in stamps.page_ratios(df).collect()} == want
+    assert {r.project_name: (r.counted, r.red) for r in stamps.page_ratios(df).collect()} == want
     amounts = spark.createDataFrame([("a", 51.0), ("b", 60.0), ("c", 50.0), ("d", 99.0), ("e", None)], "project_name string, amount double")
     needed = {r.project_name: r.has_red_stamp for r in stamps.stamps_where_needed(amounts, df).collect()}
     assert needed == {"a": True, "b": False, "c": False, "d": False, "e": False}
