@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
 
 
+def _packed(docs: DataFrame, least: int = 0) -> DataFrame:
+    """doc, tag and the compressed text of at least that many bytes; what is joined by
+    document moves through a shuffle, and compressed it takes half the disk."""
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, "text"):
+            packed = [compress(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(packed, pa.binary())], ["doc", "tag", "packed"])
+
+    return _keyed(docs).where(F.octet_length("text") >= least).mapInArrow(pack, "doc long, tag int, packed binary")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x *= _C
@@ -165,10 +178,11 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each open stretch, out of the texts."""
-    for batch in slices(batches, "text"):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "packed"):
         rows: list[list] = [[] for _ in range(7)]
         for row in batch.to_pylist():
-            text = row["text"].encode()
+            text = unpack(row["packed"])
             for x in row["open"]:
                 region = text[x["start"]:x["start"] + x["n"] - 1 + WINDOW]
                 for out, value in zip(rows, (x["anchor"], row["doc"], row["tag"], x["start"], x["n"], x["off"], region)):
@@ -280,27 +294,30 @@ def marks(docs: DataFrame, group_size: int = GROUP) -> DataFrame:
     dealt = anchors.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
     met = stored(dealt.mapInArrow(_meet, f"anchor long, {ROW}, open boolean"), "met")
     opened = met.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "off")).alias("open"))
-    regions = stored(texts.join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
-    common = regions.groupBy("anchor").count().where(F.col("count") > group_size).select("anchor", F.lit(True).alias("common"))
-    told = regions.join(common, "anchor", "left")
-    compared = told.where("common is null").repartition("anchor").sortWithinPartitions("anchor").drop("common")
-    return met.where("not open").select("doc", "tag", "start", "n") \
-        .unionByName(compared.mapInArrow(_compare, "doc long, tag int, start int, n int")) \
-        .unionByName(_by_window(told.where("common")))
+    regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
+    common = stored(regions.groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
+    found = met.where("not open").select("doc", "tag", "start", "n")
+    rare = regions
+    if not common.isEmpty():
+        found = found.unionByName(_by_window(regions.join(common, "anchor", "left_semi")))
+        rare = regions.join(common, "anchor", "left_anti")
+    compared = rare.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc long, tag int, start int, n int")
+    return found.unionByName(compared)
 
 
 def cut(docs: DataFrame, found: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document what ``marks`` makes of it: doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 (and the kept bytes)."""
     gathered = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
-    joined = _keyed(docs).join(gathered, ["doc", "tag"], "left").drop("tag")
+    joined = _packed(docs).join(gathered, ["doc", "tag"], "left").drop("tag")
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "packed"):
             ids = batch.column("doc").to_pylist()
             lists = batch.column("marks")
             out = []
-            for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            for k, text in enumerate(map(unpack, batch.column("packed").to_pylist())):
                 removed = spans = 0
                 if lists[k].is_valid:
                     runs = lists[k].values
