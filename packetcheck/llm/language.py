@@ -127,33 +127,36 @@ def _letters(windows: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About ``per_language`` learning rows (lang, text) of each language; they are the
-    only rows that reach the driver."""
+    """(lang, window) of about ``per_language`` learning rows of each language and
+    ``WINDOWS`` places in each text; nothing else of the table reaches the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    # as many languages as the table names; their counts are one row each
-    counts = rows.groupBy("lang").count().withColumn("share", F.lit(float(per_language)) / F.col("count")).drop("count")
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "lang"), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.join(counts, "lang").where(drawn < F.col("share"))
-    # a text gives a few windows only, spread over all of it
-    length = F.octet_length("text")
-    return [(r["lang"], r["text"]) for r in chosen.where(length > 0).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang", "text").collect()]
+    # one row per language that the table names; the texts are filtered where they are
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, per_language / n)))[F.col("lang")]
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "lang"), F.lit(1 << 40)) / (1 << 40)
+    length = F.char_length("text")
+    places = [F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(k)), F.greatest(F.lit(1), length - WINDOW + 1)) for k in range(WINDOWS)]
+    pieces = F.explode(F.array(*(F.substr("text", p.cast("int") + 1, F.lit(WINDOW)) for p in places)))
+    chosen = rows.where((drawn < share) & (length > 0)).select("lang", pieces.alias("piece"))
+    return [(r["lang"], r["piece"]) for r in chosen.orderBy(F.xxhash64("piece"), "lang", "piece").collect()]
 
 
 def learn(examples: list[tuple[str, str]]) -> ByteNetwork | None:
+    """Network trained on (lang, text) pairs, a window of each; None without any."""
     languages = sorted({x for x, _ in examples})
     if not languages:
         return None
     rng = np.random.default_rng(_SEED)
     windows, labels = [], []
     for lang, text in examples:
-        raw = text.lower().encode()
-        for _ in range(WINDOWS):
-            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            own = np.frombuffer(raw[at:at + WINDOW], dtype=np.uint8)
-            if rng.random() < 0.2:
-                own = own[:int(rng.integers(min(20, len(own)), len(own) + 1))]
-            windows.append(np.pad(own, (0, WINDOW - len(own))))
-            labels.append(languages.index(lang))
+        own = np.frombuffer(text.lower().encode()[:WINDOW], dtype=np.uint8)
+        if rng.random() < 0.2:
+            # short texts have to be told apart too
+            own = own[:int(rng.integers(min(20, len(own)), len(own) + 1))]
+        windows.append(np.pad(own, (0, WINDOW - len(own))))
+        labels.append(languages.index(lang))
     network = ByteNetwork(languages)
     network.train(np.array(windows), np.array(labels))
     return network
