@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from packetcheck.catalog.derived import Tables
 from packetcheck.catalog.registry import query
 from packetcheck.operators.portal import (
-    collected, collected_items, detail_records, first_items, page_progress,
-    reject_reason, split_skipped, todo_lists, todo_rows, with_choice,
+    collected, collected_items, detail_records, first_items, marked_skips, page_progress,
+    reject_reason, todo_lists, todo_rows, with_choice,
 )
 
 _SHOWN = """
@@ -178,7 +178,5 @@ def detail_records_query(t: Tables) -> DataFrame:
 def skipped_records(t: Tables) -> DataFrame:
     good = detail_records(t.detail_pages).filter(F.col("error").isNull())
     skips = t.sides.filter(F.col("k") % 5 == 0).select(F.translate("code", "/", "-").alias("code"))
-    kept, skipped = split_skipped(good, skips)
-    return kept.select("code", F.lit("kept").alias("outcome")).unionByName(
-        skipped.select("code", F.lit("skipped").alias("outcome"))
-    )
+    outcome = F.when(F.col("skipped"), "skipped").otherwise("kept").alias("outcome")
+    return marked_skips(good, skips).select("code", outcome)

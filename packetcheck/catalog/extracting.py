@@ -304,6 +304,19 @@ def packet_listing(t: Tables) -> DataFrame:
     return found.select("project_name", *names, F.array_join("missing", ",").alias("missing"))
 
 
+@query("empty_folders", """
+    select cast(o_orderkey as varchar) as project_name, 'xlsx/xls,docx/doc,pdf/jpg/jpeg/png' as missing
+    from orders where o_orderkey % 7 < 5
+""")
+def empty_folders(t: Tables) -> DataFrame:
+    """Folders of a listing: some without a file, some with the state file only."""
+    k = F.col("o_orderkey")
+    name = k.cast("string").alias("project_name")
+    held = t.orders.filter((k % 7).isin(3, 4)).select(F.concat(F.lit("/d/"), k.cast("string"), F.lit(f"/{vocab.STATE_FILE}")).alias("path"))
+    listed = t.orders.filter(k % 7 < 4).select(name)
+    return packets(held, folders=listed).select("project_name", F.array_join("missing", ",").alias("missing"))
+
+
 @query("discovered_projects", f"""
     with {_FILES} select folder as project_name from x
 """)

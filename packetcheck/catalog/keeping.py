@@ -12,7 +12,7 @@ from packetcheck.plans.logs import (
 )
 from packetcheck.plans.state import (
     cache_state, exported_events, failed_count, failure_lines, fingerprint, latest_failures,
-    ledger_counts, ledger_rows, pending_records, run_summary, split_cached, split_pending,
+    ledger_counts, ledger_rows, pending_records, run_summary, marked_cached, marked_pending,
     success_state,
 )
 
@@ -30,10 +30,10 @@ _STATE = """
 """
 
 
-@query("success_state", f"with {_STATE} select project_code, project_name, status, first_seq from state")
+@query("success_state", f"with {_STATE} select project_code, project_name, row_json, status, first_seq from state")
 def success_state_query(t: Tables) -> DataFrame:
     return success_state(t.success_events).select(
-        "project_code", "project_name", "status", "first_seq"
+        "project_code", "project_name", "row_json", "status", "first_seq"
     )
 
 
@@ -59,21 +59,18 @@ _SPLIT = """
 """
 
 
-def _batch(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _batch(t: Tables) -> DataFrame:
     pending = t.success_events.filter(F.col("state") == "pending").select(
         "project_code", F.col("seq").alias("first_seq"), "row_json"
     )
-    return split_pending(pending, t.ledger_codes)
+    return marked_pending(pending, t.ledger_codes)
 
 
 @query("ledger_split", f"""
     with {_SPLIT} select project_code, first_seq, appended from split
 """)
 def ledger_split(t: Tables) -> DataFrame:
-    appended, duplicate = _batch(t)
-    return appended.withColumn("appended", F.lit(True)).unionByName(
-        duplicate.withColumn("appended", F.lit(False))
-    ).select("project_code", "first_seq", "appended")
+    return _batch(t).select("project_code", "first_seq", "appended")
 
 
 @query("ledger_counts", f"""
@@ -82,7 +79,7 @@ def ledger_split(t: Tables) -> DataFrame:
            count(*) filter (not appended) as duplicate_count from split
 """)
 def ledger_counts_query(t: Tables) -> DataFrame:
-    return ledger_counts(*_batch(t))
+    return ledger_counts(_batch(t))
 
 
 @query("ledger_rows", f"""
@@ -92,18 +89,18 @@ def ledger_counts_query(t: Tables) -> DataFrame:
     from split where appended
 """)
 def ledger_rows_query(t: Tables) -> DataFrame:
-    rows = ledger_rows(_batch(t)[0], ["项目编码", "项目全称", "联系人"])
+    rows = ledger_rows(_batch(t).filter("appended"), ["项目编码", "项目全称", "联系人"])
     return rows.na.fill("", ["联系人"])
 
 
 @query("exported_state", f"""
-    with {_STATE} select 'exported' as status, count(*) as records from state
+    with {_STATE} select project_code, 'exported' as status, first_seq, row_json from state
 """)
 def exported_state(t: Tables) -> DataFrame:
     events = t.success_events.withColumn("ts", F.col("ts").cast("timestamp"))
     marks = exported_events(pending_records(success_state(events)), events, TS)
     after = success_state(events.unionByName(marks))
-    return after.groupBy("status").agg(F.count("*").alias("records"))
+    return after.select("project_code", "status", "first_seq", "row_json")
 
 
 @query("latest_failures", """
@@ -155,9 +152,8 @@ def recognition_cache(t: Tables) -> DataFrame:
                    F.lit("v1").alias("data_json"), F.lit(1).alias("seq"))
     new = F.struct(newer.alias("fingerprint"), F.lit("v2").alias("data_json"), F.lit(2).alias("seq"))
     entries = t.sides.filter(k % 2 == 0).select(path, F.inline_outer(F.array(old, new)))
-    hits, misses = split_cached(files, cache_state(entries))
-    return hits.select("file_path", F.lit(True).alias("hit"), "data_json").unionByName(
-        misses.select("file_path", F.lit(False).alias("hit"), F.lit("").alias("data_json"))
+    return marked_cached(files, cache_state(entries)).select(
+        "file_path", "hit", F.coalesce("data_json", F.lit("")).alias("data_json")
     )
 
 
@@ -206,9 +202,7 @@ def log_classes(t: Tables) -> DataFrame:
     with {_CLASSES} select id, class, message from classed where class in ('failed', 'system')
 """)
 def log_views(t: Tables) -> DataFrame:
-    views = [filter_lines(t.runtime_logs, view).select("id", "class", "message")
-             for view in ("failed", "system")]
-    return views[0].unionByName(views[1])
+    return filter_lines(t.runtime_logs, "failed", "system").select("id", "class", "message")
 
 
 @query("conflict_columns", f"""

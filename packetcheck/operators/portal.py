@@ -278,8 +278,8 @@ def detail_records(details: DataFrame) -> DataFrame:
     return parsed.withColumn("error", error).drop("is_login")
 
 
-def split_skipped(records: DataFrame, skip_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records to keep and records whose folder code is in ``skip_codes(code)``."""
+def marked_skips(records: DataFrame, skip_codes: DataFrame) -> DataFrame:
+    """Add ``code``, the folder code, and ``skipped``: whether ``skip_codes`` has it."""
     coded = records.withColumn("code", folder_code(F.col("project_code")))
-    skips = skip_codes.select("code").distinct()
-    return coded.join(skips, "code", "left_anti"), coded.join(skips, "code", "left_semi")
+    skips = skip_codes.select("code").distinct().withColumn("skipped", F.lit(True))
+    return coded.join(skips, "code", "left").na.fill(False, ["skipped"])

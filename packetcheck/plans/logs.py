@@ -28,10 +28,10 @@ def shown_lines(lines: DataFrame) -> DataFrame:
     return shown.withColumn("report", report_variant(F.col("message"))).withColumn("class", cls)
 
 
-def filter_lines(lines: DataFrame, view: str = "all") -> DataFrame:
-    """Shown lines of one view: all, success, failed or system."""
+def filter_lines(lines: DataFrame, *views: str) -> DataFrame:
+    """Shown lines of the views success, failed or system; all without any."""
     shown = shown_lines(lines)
-    return shown if view == "all" else shown.filter(F.col("class") == view)
+    return shown.filter(F.col("class").isin(*views)) if views else shown
 
 
 def class_counts(lines: DataFrame) -> DataFrame:

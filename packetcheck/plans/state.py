@@ -6,11 +6,14 @@ events, so a key with very many events still combines before the shuffle.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetcheck import vocab
+from packetcheck.session import stored
 
 PENDING, EXPORTED = "pending", "exported"
+MISSING_LEDGER = "missing_workbook"
 
 # --- runs -------------------------------------------------------------------
 
@@ -82,6 +85,29 @@ def success_event(
     ]
 
 
+def add_success_events(verdicts: DataFrame, events_path: str, ts: str) -> None:
+    """Append one event for every passed packet of ``project_code, project_name, passed, row``.
+
+    Numbers follow the largest one there is and increase with the packet's name.
+    """
+    from packetcheck.sources.tables import SCHEMAS
+
+    spark = verdicts.sparkSession
+    passed = ordered_results(verdicts.filter("passed"))
+    try:
+        events = spark.read.schema(SCHEMAS["success_events"]).parquet(events_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        events = spark.createDataFrame([], SCHEMAS["success_events"])
+    following = F.coalesce(events.agg(F.max("seq") + 1).scalar(), F.lit(0))
+    rows = passed.select(*success_event(
+        F.col("project_code"), F.col("project_name"), F.col("row"),
+        F.col("item_order") + following, F.to_timestamp(F.lit(ts)),
+    ))
+    stored(rows, "events").write.mode("append").parquet(events_path)
+
+
 def success_state(events: DataFrame) -> DataFrame:
     """Latest state per project code.
 
@@ -108,8 +134,8 @@ def pending_records(state: DataFrame) -> DataFrame:
     return state.filter(F.col("status") == PENDING)
 
 
-def split_pending(pending: DataFrame, ledger_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append to the ledger and duplicates.
+def marked_pending(pending: DataFrame, ledger_codes: DataFrame) -> DataFrame:
+    """Add ``appended``: whether a row goes to the ledger or is a duplicate.
 
     ``pending`` has ``project_code, first_seq``. Of each new code the first row
     is appended; rows without a code are always appended. Codes are reduced to
@@ -123,20 +149,19 @@ def split_pending(pending: DataFrame, ledger_codes: DataFrame) -> tuple[DataFram
         .agg(F.min("first_seq").alias("first_seq"))
         .join(known, "project_code", "left_anti")
     )
-    key = ["project_code", "first_seq"]
-    coded = pending.filter(F.col("project_code") != "")
-    blank = pending.filter(F.col("project_code") == "")
-    appended = coded.join(firsts, key, "left_semi").unionByName(blank)
-    return appended, coded.join(firsts, key, "left_anti")
+    marked = pending.join(
+        firsts.withColumn("is_first", F.lit(True)), ["project_code", "first_seq"], "left"
+    )
+    appended = F.coalesce("is_first", F.lit(False)) | (F.col("project_code") == "")
+    return marked.withColumn("appended", appended).drop("is_first")
 
 
-def ledger_counts(appended: DataFrame, duplicate: DataFrame) -> DataFrame:
-    """Status and counts of an export."""
-    marked = appended.select(F.lit(1).alias("a")).unionByName(duplicate.select(F.lit(0).alias("a")))
+def ledger_counts(marked: DataFrame) -> DataFrame:
+    """Status and counts of an export, from rows with ``appended``."""
     counts = marked.agg(
         F.count("*").alias("pending_count"),
-        F.count_if(F.col("a") == 1).alias("appended_count"),
-        F.count_if(F.col("a") == 0).alias("duplicate_count"),
+        F.count_if("appended").alias("appended_count"),
+        F.count_if(~F.col("appended")).alias("duplicate_count"),
     )
     status = F.when(F.col("pending_count") == 0, "empty").otherwise("exported")
     return counts.select(status.alias("status"), "*")
@@ -156,23 +181,35 @@ def export_pending(
 
     Rows are written before the marks: a crash between the two repeats the
     export, and the code test then drops what is already there. The ledger is
-    parquet partitioned by batch and must exist.
+    parquet partitioned by batch; where there is none, nothing is written and
+    the status is ``missing_workbook``.
     """
     from packetcheck.sources.tables import read_table
 
     events = read_table(spark, "success_events", f"{events_path}")
+    pending = pending_records(success_state(events))
+    try:
+        ledger = spark.read.parquet(ledger_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        waiting = ledger_counts(pending.withColumn("appended", F.lit(False)))
+        return waiting.select(
+            F.lit(MISSING_LEDGER).alias("status"), "pending_count",
+            F.lit(0).cast("bigint").alias("appended_count"),
+            F.lit(0).cast("bigint").alias("duplicate_count"),
+        )
     # this batch's own folder may hold rows of a run that failed half-way
-    ledger = spark.read.parquet(ledger_path).filter(F.col("batch").cast("string") != batch)
+    ledger = ledger.filter(F.col("batch").cast("string") != batch)
     headers = [c for c in ledger.columns if c != "batch"]
-    pending = pending_records(success_state(events))
     codes = ledger.select(F.col(vocab.LEDGER_CODE).alias("project_code"))
-    appended, duplicate = split_pending(pending, codes)
-    ledger_rows(appended, headers).orderBy("first_seq").select(*headers).write.mode(
+    # rows, counts and marks all come from what was pending when the export began
+    marked = stored(marked_pending(stored(pending, "pending"), codes), "marked")
+    ledger_rows(marked.filter("appended"), headers).orderBy("first_seq").select(*headers).write.mode(
         "overwrite"
     ).parquet(f"{ledger_path}/batch={batch}")
-    counts = ledger_counts(appended, duplicate).toPandas()
-    exported_events(pending, events, ts).write.mode("append").parquet(events_path)
-    return spark.createDataFrame(counts)
+    exported_events(marked, events, ts).write.mode("append").parquet(events_path)
+    return ledger_counts(marked)
 
 
 def exported_events(pending: DataFrame, events: DataFrame, ts: str) -> DataFrame:
@@ -226,8 +263,8 @@ def cache_state(entries: DataFrame) -> DataFrame:
     return entries.groupBy("file_path").agg(latest.alias("e")).select("file_path", "e.*")
 
 
-def split_cached(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files whose recognition can be reused, with its data, and the others."""
+def marked_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """Add ``hit``, whether a file's recognition can be reused, and its ``data_json``."""
     key = ["file_path", "fingerprint"]
-    hits = files.join(cache.select(*key, "data_json"), key)
-    return hits, files.join(cache.select(*key), key, "left_anti")
+    known = cache.select(*key, "data_json", F.lit(True).alias("hit"))
+    return files.join(known, key, "left").na.fill(False, ["hit"])

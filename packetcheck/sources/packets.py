@@ -13,18 +13,28 @@ def is_project_dir(name: Column) -> Column:
 
 
 def split_paths(files: DataFrame) -> DataFrame:
-    """Add ``project_name`` and ``name``; drop reserved folders and the state file."""
+    """Add ``project_name`` and ``name``; drop reserved folders."""
     parts = F.split("path", "/")
     return (
         files.withColumn("project_name", F.element_at(parts, -2))
         .withColumn("name", F.element_at(parts, -1))
-        .filter(is_project_dir(F.col("project_name")) & (F.col("name") != vocab.STATE_FILE))
+        .filter(is_project_dir(F.col("project_name")))
     )
 
 
-def discover_projects(files: DataFrame) -> DataFrame:
-    """Distinct project folders in name order."""
-    return split_paths(files).select("project_name").distinct().orderBy("project_name")
+def project_folders(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Distinct project folders: those that hold any file, the state file too, and
+    those of a listing ``folders(project_name)``, which may be empty."""
+    names = split_paths(files).select("project_name")
+    if folders is not None:
+        listed = folders.select("project_name").filter(is_project_dir(F.col("project_name")))
+        names = names.unionByName(listed)
+    return names.distinct()
+
+
+def discover_projects(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Project folders in name order."""
+    return project_folders(files, folders).orderBy("project_name")
 
 
 def has_file_role(name: Column, role: tuple[str, list[str]]) -> Column:
@@ -54,13 +64,17 @@ def is_web_text(name: Column, project: Column, content: Column) -> Column:
     return F.lower(name).endswith(".txt") & (by_name | by_code)
 
 
-def packets(files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+def packets(
+    files: DataFrame, contents: DataFrame | None = None, folders: DataFrame | None = None
+) -> DataFrame:
     """One row per project: the first file by name of each role, and missing roles.
 
+    A folder without files, or with the state file only, lacks every role.
+
     ``contents(path, text)`` adds the texts that are recognised only by their
     code line. ``min`` picks the first name and combines before the shuffle.
     """
-    named = split_paths(files)
+    named = split_paths(files).filter(F.col("name") != vocab.STATE_FILE)
     if contents is None:
         named = named.withColumn("text", F.lit(None).cast("string"))
     else:
@@ -80,4 +94,5 @@ def packets(files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
         F.when(F.col("summary_path").isNull(), "docx/doc"),
         F.when(F.col("report_path").isNull(), "pdf/jpg/jpeg/png"),
     )
-    return rows.withColumn("missing", F.array_compact(missing))
+    every = project_folders(files, folders).join(rows, "project_name", "left")
+    return every.withColumn("missing", F.array_compact(missing))

@@ -10,10 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetcheck.operators import stamps
-from packetcheck.operators.report import report_struct
+from packetcheck.operators.report import report_records, report_struct
 from packetcheck.operators.rules import CandidateRule, FieldRule, packet_rules, reconcile
 from packetcheck.operators.verdict import assemble, judge, until_first_fatal
+from packetcheck.operators.summary import summary_records
+from packetcheck.operators.web import web_records
 from packetcheck.plans import logs, report, state
+from packetcheck.plans.packets import PacketTables, compare_reports
 from packetcheck.sources import tables
 from packetcheck.sources.packets import discover_projects, packets
 from packetcheck.streaming.incremental import current_verdicts, stream_reconcile
@@ -188,6 +191,38 @@ def test_packet_discovery(spark, tmp_path):
     assert [r.project_name for r in discover_projects(files).collect()] == ["Q-2", "Q_1"]
 
 
+def test_folders_without_files_are_found(spark):
+    files = spark.createDataFrame([("/d/P1/关闭移交登记表.xls",), ("/d/P3/project_compare_state.sqlite3",)], "path string")
+    folders = spark.createDataFrame([("P1",), ("P2",), ("cache",), (".x",)], "project_name string")
+    rows = {r.project_name: (r.registry_path is not None, len(r.missing)) for r in packets(files, folders=folders).collect()}
+    assert rows == {"P1": (True, 2), "P2": (False, 3), "P3": (False, 3)}
+    assert [r.project_name for r in discover_projects(files, folders).collect()] == ["P1", "P2", "P3"]
+
+
+def test_only_the_chosen_text_is_compared(spark):
+    """Two texts in a folder: the packet stays one row, with the record of its chosen path."""
+    found = packets(spark.createDataFrame([("/d/P/P-a.txt",), ("/d/P/P-b.txt",), ("/d/Q/Q.txt",)], "path string"))
+    texts = spark.createDataFrame(
+        [("P", "/d/P/P-b.txt", "项目编号: B"), ("P", "/d/P/P-a.txt", "项目编号: A"), ("Q", "/d/Q/Q.txt", "项目编号: Q")],
+        "project_name string, path string, text string")
+    none = spark.createDataFrame([], "project_name string, x string")
+    rows = assemble(
+        found, none.selectExpr("project_name", "cast(null as map<string,struct<kind:string,s:string>>) as fields"),
+        summary_records(none.withColumnRenamed("x", "text")), report_records(none.withColumnRenamed("x", "text")), web_records(texts))
+    assert sorted((r.project_name, r.web.project_code) for r in rows.collect()) == [("P", "A"), ("Q", "Q")]
+
+
+def test_optional_tables_may_be_absent(spark, tmp_path):
+    root, packet = str(tmp_path), "project_name string, registry_path string, summary_path string, report_path string, web_path string, missing array<string>"
+    for name in ("cells", "summary_texts", "report_pages", "web_texts"):
+        spark.createDataFrame([], tables.SCHEMAS[name]).write.parquet(f"{root}/{name}")
+    one = spark.createDataFrame([("P", None, None, None, None, ["xlsx/xls"])], packet)
+    read = PacketTables.read(spark, root, one)
+    assert read.pixels is None and read.payloads is None
+    row = compare_reports(read, "2026-01-01 00:00:00").first()
+    assert (row.project_name, row.passed, row.status) == ("P", False, "缺少 Excel 文件")
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_table_formats(spark, tmp_path, fmt):
     df = spark.createDataFrame([("a", "x\ny,\"z\"")], tables.SCHEMAS["web_texts"])
@@ -240,12 +275,32 @@ def test_ledger_export_is_repeatable(spark, tmp_path):
     assert tuple(again) == ("empty", 0, 0, 0)
 
 
+def test_export_without_a_ledger_changes_nothing(spark, tmp_path):
+    events = str(tmp_path / "events")
+    spark.createDataFrame([(1, "A", "a", "{}", "pending", None)], tables.SCHEMAS["success_events"]).write.parquet(events)
+    counts = state.export_pending(spark, events, str(tmp_path / "none"), "1", "2025-01-01 00:00:00").first()
+    assert tuple(counts) == ("missing_workbook", 1, 0, 0)
+    assert spark.read.parquet(events).count() == 1
+
+
+def test_passes_become_events(spark, tmp_path):
+    events = str(tmp_path / "events")
+    for day, rows in enumerate([[("b", "B", True), ("a", "A", True), ("c", "C", False)], [("c", "C", True)]], 1):
+        df = spark.createDataFrame(rows, "project_name string, project_code string, passed boolean")
+        state.add_success_events(df.withColumn("row", F.struct("project_code")), events, f"2025-01-0{day} 00:00:00")
+    got = tables.read_table(spark, "success_events", events).orderBy("seq").collect()
+    assert [(r.project_code, r.state, r.row_json) for r in got] == [(x, "pending", f'{{"project_code":"{x}"}}') for x in "ABC"]
+    assert len({r.seq for r in got}) == 3
+    assert {r.status for r in state.success_state(tables.read_table(spark, "success_events", events)).collect()} == {"pending"}
+
+
 def test_split_is_disjoint_and_total(spark):
     rng = np.random.default_rng(1)
     rows = [(["", "H", f"C{i % 40}"][int(rng.integers(0, 3))], i) for i in range(3000)]
     df = spark.createDataFrame(rows, "project_code string, first_seq bigint").repartition(7)
     ledger = spark.createDataFrame([(f"C{i}",) for i in range(10)], "project_code string")
-    appended, duplicate = state.split_pending(df, ledger)
+    marked = state.marked_pending(df, ledger)
+    appended, duplicate = (marked.filter(F.col("appended") == x).drop("appended") for x in (True, False))
     seen = {f"C{i}" for i in range(10)}
     want = []
     for code, seq in rows:
