@@ -2,8 +2,8 @@
 
 Cells come as ``project_name, sheet_idx, sheet, row, col, kind, s, n`` and are
 read twice: once for the few marker cells that give a sheet its layout, once to
-pick the cells the layout points at. All reductions are aggregates that combine
-before the shuffle, so neither a long sheet nor a large project is gathered.
+pick the cells the layout points at. Both readings are dealt out by project, which
+all later keys begin with; no sheet is gathered into one value.
 """
 
 from __future__ import annotations
@@ -133,17 +133,20 @@ def layout_hits(
     # is settled once per cell and spares the other cells' hits
     value = make_value(cell_kind(c("kind"), c("n")), cell_string(c("kind"), c("s"), c("n")))
     typed = cells.select(*SHEET, "row", "col", "kind", "s", "n", is_meaningful(value).alias("ok"))
-    joined = typed.join(layouts, SHEET)
+    # joined by project alone, as the cells are dealt out; the sheet is compared
+    # in the conditions below, since a filter would widen the join key
+    joined = typed.join(layouts.withColumnRenamed("sheet_idx", "layout_sheet"), "project_name")
+    here = c("sheet_idx") == c("layout_sheet")
     under = (row > c("header.row")) & ((col == c("header.col")) | (col == c("header.value_col")))
     none, place = F.lit(None), row.cast("bigint") * COLUMNS + col
     found = [(
-        F.coalesce(under, F.lit(False)), F.struct(row, none, none, col == c("header.col")),
+        here & F.coalesce(under, F.lit(False)), F.struct(row, none, none, col == c("header.col")),
     )]
     # look for a label at each place this cell would be a neighbour of
     back = [*range(1, right_reach + 1), *(COLUMNS * d for d in range(1, down_reach + 1))]
     for rank, distance in enumerate(back):
         label = F.try_element_at("labels", place - distance)
-        found.append((c("ok") & label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
+        found.append((here & c("ok") & label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
     pointed = present(*found, kind=HIT)
     # the outer form keeps the optimizer from evaluating the hits twice
     hits = joined.select(
@@ -160,8 +163,13 @@ def registry_fields(
 
     Rows under the header come first, the last one of a label winning; labels
     they leave open take the first meaningful neighbour.
+
+    The cells are dealt out by project once for each of their two readings, and
+    every step after that keeps to the project. One project's cells meet in a
+    task; a workbook bounds them, and the aggregates hold its labels only.
     """
     c = F.col
+    cells = cells.repartition("project_name")
     layouts = chosen_layouts(sheet_layouts(cells, header_reach))
     hits = layout_hits(cells, layouts, right_reach, down_reach)
     valued = with_cell_value(hits, c("label"), c("kind"), c("s"), c("n"))

@@ -215,3 +215,28 @@ def test_best_text(spark):
         "project_name string, ord int, text string")
     got = {r.project_name: r.text for r in summary.best_texts(df).collect()}
     assert got["a"] == "项目编号" and got["b"] == "é" and got["c"] == "xy"
+
+
+def test_sheets_are_shuffled_once_per_reading(spark):
+    rows = [(p, i, str(i), r, c, "string", s, None)
+            for p, sh in SHEETS.items() for i, cs in sh.items() for (r, c), s in cs.items()]
+    df = spark.createDataFrame(rows, "project_name string, sheet_idx int, sheet string, row int, col int, kind string, s string, n double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sheets.registry_fields(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_payload_parser_compiles(spark):
+    """Generated code that doesn't compile raises instead of being interpreted."""
+    df = spark.createDataFrame([("a", "ai", "{}"), ("a", "ocr", '{"data":{"signer_name":"x"}}')], "project_name string, kind string, body string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        rows = recognition.payload_records(df.repartition(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
+    assert {r.report.signer_name for r in rows} == {"", "x"}

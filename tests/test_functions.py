@@ -156,5 +156,5 @@ def test_display(each):
 
 
 def test_embedded_object(each):
-    got = each(payload.embedded_object, [' {"a":1}\n', 'x {"a":\n{"b":2}} y', "none", "[1]"])
+    got = each(lambda c: payload.embedded_object(c, text.normalize_text(c)), [' {"a":1}\n', 'x {"a":\n{"b":2}} y', "none", "[1]"])
     assert got == ['{"a":1}', '{"a":\n{"b":2}}', None, None]
