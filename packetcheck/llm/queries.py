@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetcheck.llm import (
-    decontamination, embeddings, language, packing, quality, repeats, secrets, simhash, token_files, url_rules,
+    checks, decontamination, embeddings, language, packing, quality, repeats, secrets, simhash, token_files, url_rules,
 )
 from packetcheck.llm.common import table
 from packetcheck.session import shared_dir
 
+#: Fixed rules, as (verdict, host/path).
+URL_RULES = [
+    (url_rules.ALLOW, "com/"), (url_rules.BLOCK, "example.com/en/"), (url_rules.ALLOW, "www.example.com/en/"),
+    (url_rules.BLOCK, "net/es/"), (url_rules.BLOCK, "net/fr/"),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op7_url_rules": checks.url_verdicts(URL_RULES),
+    "op9_secret_scans": checks.secret_scans(),
+    "op10_embedding_near_dedup": checks.embedding_links(),
+}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -62,13 +72,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-#: Fixed rules, as (verdict, host/path).
-URL_RULES = [
-    (url_rules.ALLOW, "com/"), (url_rules.BLOCK, "example.com/en/"), (url_rules.ALLOW, "www.example.com/en/"),
-    (url_rules.BLOCK, "net/es/"), (url_rules.BLOCK, "net/fr/"),
-]
-
-
 @query
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
