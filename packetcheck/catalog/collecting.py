@@ -50,7 +50,7 @@ def todo_progress(t: Tables) -> DataFrame:
 @query("todo_items", f"""
     with {_SHOWN},
     stops as (select category, min(page_no) as stop_page from ends where ends group by category)
-    select f.category, case when k % 10 = 3 then '' else 't' || k end as fd_id, '项目号：BHE-' || k as subject,
+    select f.category, case when k % 10 = 3 then '' else 't' || k end as fd_id, '项目号：QXA-' || k as subject,
            '/d/' || k as detail_path, f.page_no
     from firsts f left join stops s on s.category = f.category where f.page_no <= coalesce(stop_page, f.page_no)
 """)

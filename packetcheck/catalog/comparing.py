@@ -385,7 +385,7 @@ def success_rows(t: Tables) -> DataFrame:
 
 def rendered_tables(t: Tables) -> PacketTables:
     pixels = t.lineitem.select(
-        F.concat(F.lit("BHE-"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("-01")).alias("project_name"),
+        F.concat(F.lit("QXA-"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("-01")).alias("project_name"),
         F.col("l_linenumber").alias("page"), F.col("l_partkey").cast("int").alias("idx"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 2 == 0), 200).otherwise(100).alias("r"),
         (F.lit(50) + F.col("l_linenumber")).alias("g"), (F.lit(50) + F.col("l_linenumber")).alias("b"),

@@ -64,9 +64,9 @@ SQL = {
     """,
     "packet_names": f"""
         select *,
-               'BHE-' || lpad({text('k')}, 8, '0') || '-01' as project_name,
-               'BHE-' || lpad({text('k')}, 8, '0') || '/01' as code,
-               'BHE-' || lpad({text('k + 1')}, 8, '0') || '/01' as next_code,
+               'QXA-' || lpad({text('k')}, 8, '0') || '-01' as project_name,
+               'QXA-' || lpad({text('k')}, 8, '0') || '/01' as code,
+               'QXA-' || lpad({text('k + 1')}, 8, '0') || '/01' as next_code,
                'Project Customer#' || lpad({text('ck')}, 9, '0') as title,
                {_CONTACT} as contact, {_NEXT} as next_contact,
                '13' || lpad({text('ck')}, 9, '0') as phone,

@@ -148,17 +148,37 @@ _CONFIRMED = f"""case when {duck.names_match('reg_contact', 'rep_name')} then re
     from x
 """)
 def resolved_query(t: Tables) -> DataFrame:
+    return _resolved(t, always=True)
+
+
+def _resolved(t: Tables, always: bool) -> DataFrame:
     registry = registry_records(registry_fields(t.cells))
     summary = summary_records(t.summary_texts)
     contexts = recognition_context(registry.join(summary, "project_name", "left"))
     texts = report_records(joined_pages(t.report_pages))
-    r = resolved_reports(texts, payload_records(t.payloads), contexts)
+    r = resolved_reports(texts, payload_records(t.payloads), contexts, always)
     return r.select(
         "project_name", F.col("report.project_code").alias("code"), "report.signer_name",
         "report.signer_phone", iso("report.sign_date", "sign_date"),
     )
 
 
+@query("reports_where_needed", f"""
+    with x as (
+        select *, k % 5 < 3 as has_ai, k % 5 > 0 and k % 4 <> 3 as has_ocr, {_CONFIRMED} as confirmed,
+               rep_date is null as open from sides
+    )
+    select project_name, code,
+           case when open and has_ai and (k % 7 <> 0 or has_ocr) then confirmed else rep_name end as signer_name,
+           case when open and has_ai then {duck.digits('reg_phone')} else rep_phone end as signer_phone,
+           {_ISO.format('rep_date', 'sign_date')}
+    from x
+""")
+def reports_where_needed(t: Tables) -> DataFrame:
+    """Recognition only where the page text left a field open."""
+    return _resolved(t, always=False)
+
+
 @query("candidate_sets", f"""
     select project_name,
            array_to_string(case when len(doc_names) = 0 then [reg_contact]
@@ -257,14 +277,20 @@ def document_runs(t: Tables) -> DataFrame:
 
 @query("best_texts", """
     with c as (
-        select lang || source as project_name, doc_id as ord, text,
-               cast(contains(text, ' the ') as int) * 0 as score, strlen(text) as bytes from documents
+        select lang || source as project_name, doc_id as ord, doc_id % 6 as score,
+               text || array_to_string((['项目编号', '项目全称', '用户姓名', '联系电话', '竣工验收'])[1:doc_id % 6], ' ') as text,
+               strlen(text || array_to_string((['项目编号', '项目全称', '用户姓名', '联系电话', '竣工验收'])[1:doc_id % 6], ' ')) as bytes
+        from documents where doc_id % 6 < length(source)
     )
     select project_name, md5(arg_max(text, struct_pack(score, bytes, neg := -ord))) as digest from c group by project_name
 """)
 def best_texts_query(t: Tables) -> DataFrame:
-    candidates = t.documents.select(
-        F.concat("lang", "source").alias("project_name"), F.col("doc_id").alias("ord"), "text"
+    """Texts with none to five of the anchor labels; more of them win over length."""
+    n = (F.col("doc_id") % 6).cast("int")
+    labels = F.slice(F.array(*[F.lit(x) for x in vocab.SUMMARY_ANCHORS]), 1, n)
+    candidates = t.documents.filter(n < F.length("source")).select(
+        F.concat("lang", "source").alias("project_name"), F.col("doc_id").alias("ord"),
+        F.concat("text", F.array_join(labels, " ")).alias("text"),
     )
     return best_texts(candidates).select("project_name", F.md5("text").alias("digest"))
 

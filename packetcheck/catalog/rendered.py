@@ -244,7 +244,7 @@ def todo_pages(base: DataFrame, with_bad: bool) -> DataFrame:
     also = F.when((k % 100 == 0) | ((category == "4-NOT SPECIFIED") & (own == 2)), own + 1)
     item = F.array(
         _pair("fdId", F.when(k % 10 == 3, "").otherwise(F.concat(F.lit("t"), k.cast("string")))),
-        _pair("todo.subject4View", F.concat(F.lit("<span>项目号：BHE-"), k.cast("string"), F.lit("&nbsp;</span>"))),
+        _pair("todo.subject4View", F.concat(F.lit("<span>项目号：QXA-"), k.cast("string"), F.lit("&nbsp;</span>"))),
         F.when(k % 11 == 5, _pair("other", F.lit("x"))).otherwise(_href(k)),
     )
     shown = base.select(

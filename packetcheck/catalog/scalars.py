@@ -10,8 +10,8 @@ from packetcheck.catalog.registry import query
 from packetcheck.functions.dates import parse_date
 from packetcheck.functions.names import fold_name, names_match
 from packetcheck.functions.pages import (
-    code_in_report, code_in_text, decode_js_string, detail_url, download_url, folder_code,
-    looks_expired, looks_like_html, looks_like_login, safe_filename, strip_html, todo_list_url,
+    code_in_report, code_in_text, decode_js_string, detail_url, filled_url, folder_code,
+    looks_expired, looks_like_html, looks_like_login, safe_filename, strip_html,
 )
 from packetcheck.functions.text import (
     compact_text, display_joined, display_value, field_label, normalize_text, phone_digits,
@@ -170,17 +170,17 @@ def safe_names(t: Tables) -> DataFrame:
 
 
 @query("codes_in_text", """
-    select o_orderkey, case when o_orderkey % 7 = 0 then '∅' else 'BHE-' || o_orderkey || case when o_orderkey % 2 = 0 then '/Z1' else '' end end as portal_code,
-           case when o_orderkey % 3 = 0 then '' else 'PHE-' || lpad(cast(o_orderkey as string), 8, '0') || '/B1' end as report_code
+    select o_orderkey, case when o_orderkey % 7 = 0 then '∅' else 'QXA-' || o_orderkey || case when o_orderkey % 2 = 0 then '/Z1' else '' end end as portal_code,
+           case when o_orderkey % 3 = 0 then '' else 'QXB-' || lpad(cast(o_orderkey as string), 8, '0') || '/B1' end as report_code
     from orders
 """)
 def codes_in_text(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     portal = F.when(k % 7 == 0, "没有编号 12-34").otherwise(F.concat(
-        F.lit("见 项目号： bhe-"), k.cast("string"), F.when(k % 2 == 0, "/z1 等").otherwise(" (x").cast("string")
+        F.lit("见 项目号： qxa-"), k.cast("string"), F.when(k % 2 == 0, "/z1 等").otherwise(" (x").cast("string")
     ))
-    report = F.when(k % 3 == 0, "phe-12/b1").otherwise(F.concat(
-        F.lit("报告 phe-"), F.lpad(k.cast("string"), 8, "0"), F.lit("/b1 完")
+    report = F.when(k % 3 == 0, "qxb-12/b1").otherwise(F.concat(
+        F.lit("报告 qxb-"), F.lpad(k.cast("string"), 8, "0"), F.lit("/b1 完")
     ))
     return t.orders.select(
         "o_orderkey", F.coalesce(code_in_text(portal), F.lit("∅")).alias("portal_code"),
@@ -212,18 +212,18 @@ def html_text(t: Tables) -> DataFrame:
 
 @query("page_links", f"""
     select page_id, case when page_id % 2 = 0 then url else '{BASE}/' || ltrim(substr(url, 8), '/') end
-               || case when contains(url, '?') then '&LLType=PC' else '?LLType=PC' end as detail,
-           '{BASE}/sys/attachment/sys_att_main/sysAttMain.do?method=download&fdId=' || page_id as download,
-           '{BASE}/sys/notify/sys_notify_todo/sysNotifyMainIndex.do?method=list&from=aggregation&dataType=todo&fdType=13&aggregationId=a&pageno='
-               || page_id || '&rowsize=100&pageNo=' || page_id || '&rowSize=100&pageSize=100' as list
+               || case when contains(url, '?') then '&view=full' else '?view=full' end as detail,
+           '{BASE}/files/get?id=' || page_id as download,
+           '{BASE}/lists/a?page=' || page_id || '&size=100' as list
     from pages
 """)
 def page_links(t: Tables) -> DataFrame:
     path = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.substr("url", F.lit(8)))
     page = F.col("page_id").cast("string")
     return t.pages.select(
-        "page_id", detail_url(path, BASE).alias("detail"), download_url(page, BASE).alias("download"),
-        todo_list_url(F.lit("a"), page, 100, BASE).alias("list"),
+        "page_id", detail_url(path, BASE, "view=full").alias("detail"),
+        filled_url("/files/get?id={id}", BASE, id=page).alias("download"),
+        filled_url("/lists/{list}?page={page}&size=100", BASE, list=F.lit("a"), page=page).alias("list"),
     )
 
 

@@ -36,7 +36,7 @@ def stream_log_classes(t: Tables) -> DataFrame:
     from sides s left join f on f.project_name = s.project_name group by s.project_name
 """)
 def stream_verdicts(t: Tables) -> DataFrame:
-    key = F.concat(F.lit("BHE-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("-01"))
+    key = F.concat(F.lit("QXA-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("-01"))
     changes = table_stream(t, "orders").select(key.alias("project_name"))
     sides = t.sides
 

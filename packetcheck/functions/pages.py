@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from packetcheck import vocab
 from packetcheck.functions.text import WS, blank_to_null, normalize_text
 
-_ENTITIES = [
-    ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"),
-    ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-]
-
-
 def strip_html(c: Column) -> Column:
     """Text of an HTML fragment, without scripts and styles."""
     text = F.regexp_replace(
         c, r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)>", " "
     )
     text = F.regexp_replace(text, "<[^>]+>", " ")
-    for entity, char in _ENTITIES:
+    for entity, char in vocab.ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return normalize_text(text)
 
@@ -123,31 +119,20 @@ def json_signals_expiry(body: Column) -> Column:
 
 # --- links ------------------------------------------------------------------
 
-def detail_url(path: Column, base_url: str) -> Column:
+def detail_url(path: Column, base_url: str, suffix: str = "") -> Column:
+    """Address of a page by its path, with a query ``suffix`` such as ``view=full``."""
     rooted = F.concat(F.lit(base_url + "/"), F.regexp_replace(path, "^/+", ""))
     url = F.when(path.startswith("http"), path).otherwise(rooted)
-    return F.concat(url, F.when(url.contains("?"), "&LLType=PC").otherwise("?LLType=PC"))
-
-
-def notify_view_url(item_id: Column, base_url: str) -> Column:
-    path = "/sys/notify/sys_notify_todo/sysNotifyTodo.do?method=view&fdId="
-    return F.concat(F.lit(base_url + path), item_id)
+    if not suffix:
+        return url
+    return F.concat(url, F.when(url.contains("?"), "&" + suffix).otherwise("?" + suffix))
 
 
-def download_url(item_id: Column, base_url: str) -> Column:
-    path = "/sys/attachment/sys_att_main/sysAttMain.do?method=download&fdId="
-    return F.concat(F.lit(base_url + path), item_id)
+def filled_url(template: str, base_url: str, **values: Column) -> Column:
+    """``base_url`` and a path template with its ``{name}`` places filled.
 
-
-def todo_list_url(category_id: Column, page_no: Column, page_size: int, base_url: str) -> Column:
-    path = (
-        "/sys/notify/sys_notify_todo/sysNotifyMainIndex.do?method=list"
-        "&from=aggregation&dataType=todo&fdType=13&aggregationId="
-    )
-    no = page_no.cast("string")
-    size = str(page_size)
-    return F.concat(
-        F.lit(base_url + path), category_id,
-        F.lit("&pageno="), no, F.lit(f"&rowsize={size}&pageNo="), no,
-        F.lit(f"&rowSize={size}&pageSize={size}"),
-    )
+    A portal's paths are its own, so they are arguments: ``/view?id={id}``.
+    """
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)]
+    return F.concat(F.lit(base_url), *pieces)

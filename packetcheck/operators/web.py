@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packetcheck.functions.pages import detail_url, notify_view_url
+from packetcheck.functions.pages import detail_url, filled_url
 from packetcheck.functions.text import normalize_text, project_code
 
 
@@ -25,12 +25,16 @@ def web_records(texts: DataFrame) -> DataFrame:
 
 
 def info_text(
-    code: Column, name: Column, category: Column, path: Column, item_id: Column, base_url: str
+    code: Column, name: Column, category: Column, path: Column, item_id: Column, base_url: str,
+    item_path: str = "/items/{id}", suffix: str = "",
 ) -> Column:
-    """Info text of a portal record; ``web_records`` reads it back."""
+    """Info text of a portal record; ``web_records`` reads it back.
+
+    ``item_path`` is the portal's path of an item, ``suffix`` what it adds to pages.
+    """
     return F.concat(
         F.lit("项目编号: "), code, F.lit("\n项目名称: "), name,
         F.lit("\n来源分类: "), category,
-        F.lit("\n详情页: "), detail_url(path, base_url),
-        F.lit("\n待办页: "), notify_view_url(item_id, base_url), F.lit("\n"),
+        F.lit("\n详情页: "), detail_url(path, base_url, suffix),
+        F.lit("\n待办页: "), filled_url(item_path, base_url, id=item_id), F.lit("\n"),
     )

@@ -78,6 +78,10 @@ REPORT_CODE = r"[A-Z]{2,4}-\d{6,8}(?:[-/][A-Z0-9]+)+"
 PHONE = r"1\d{10}"
 
 # --- portal pages -----------------------------------------------------------
+ENTITIES = [
+    ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"),
+    ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+]
 ATTACHMENT_SECTION = "关闭依据附件"
 ATTACHMENTS_KEPT = 3
 TOTAL_COUNT_KEYS = ["total", "totalCount", "recordCount", "records"]

@@ -137,8 +137,8 @@ def test_codes_and_names(each):
 
 def test_links(each):
     base = "https://p.example.org"
-    assert each(lambda c: pages.detail_url(c, base), ["/a?b=1", "a", "http://x/y"]) == [
-        base + "/a?b=1&LLType=PC", base + "/a?LLType=PC", "http://x/y?LLType=PC"]
+    assert each(lambda c: pages.detail_url(c, base, "view=full"), ["/a?b=1", "a", "http://x/y"]) == [
+        base + "/a?b=1&view=full", base + "/a?view=full", "http://x/y?view=full"]
     assert each(pages.decode_js_string, ["\\u4e2d\\\"x", "bad\\q", "plain"]) == ['中"x', "bad\\q", "plain"]
 
 
