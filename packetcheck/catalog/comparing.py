@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetcheck.catalog import duck
 from packetcheck.catalog.derived import Tables
@@ -19,6 +19,10 @@ from packetcheck.plans.packets import PacketTables, compare
 from packetcheck.plans.report import (
     exploded_rows, report_json, report_rows, run_totals, success_row,
 )
+from packetcheck.plans.run import run_comparison
+from packetcheck.plans.state import success_state
+from packetcheck.session import shared_dir
+from packetcheck.sources.tables import read_table
 
 FINISHED_AT = "2026-01-01 00:00:00"
 
@@ -416,6 +420,40 @@ def documents_to_verdicts(t: Tables) -> DataFrame:
     )
 
 
+@query("whole_run", f"""
+    with {FAILURES},
+    bad as (
+        select distinct project_name from f
+        union
+        select project_name from sides where k % 101 = 0 or k % 103 = 0 or k % 107 = 0
+    )
+    select s.project_name, b.project_name is null as passed, row_number() over (partition by substr(s.project_name, 1, 9) order by s.project_name) as place,
+           case when b.project_name is null then 'pending' else '' end as event, b.project_name is null as archived
+    from sides s left join bad b on b.project_name = s.project_name
+""")
+def whole_run(t: Tables) -> DataFrame:
+    """What two runs leave: the saved results in order, the events, the archive.
+
+    The second run finds nothing new, but compares what did not pass again.
+    """
+    root = shared_dir(t.spark, "run")
+    tables = rendered_tables(t)
+    run_comparison(tables, root, "1", FINISHED_AT)
+    run_comparison(tables, root, "2", FINISHED_AT)
+    results = read_table(t.spark, "compare_results", f"{root}/compare_results")
+    events = success_state(read_table(t.spark, "success_events", f"{root}/success_events"))
+    first = results.filter("run_id = 1").select("project_name", "passed", "item_order")
+    again = results.filter("run_id = 2").select("project_name", F.lit(True).alias("again"))
+    place = F.row_number().over(Window.partitionBy(F.substring("project_name", 1, 9)).orderBy("item_order")).cast("bigint")
+    return (
+        first.withColumn("place", place)
+        .join(events.select("project_name", "status"), "project_name", "left")
+        .join(again, "project_name", "left")
+        .select("project_name", "passed", "place", F.coalesce("status", F.lit("")).alias("event"),
+                F.col("again").isNull().alias("archived"))
+    )
+
+
 # --- rules over other tables ------------------------------------------------
 
 
