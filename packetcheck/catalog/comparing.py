@@ -458,22 +458,25 @@ def whole_run(t: Tables) -> DataFrame:
 
 
 @query("rules_supplier_customer", """
-    select s_name, 'nation' as field_name, s_nationkey as left_nation, c_nationkey as right_nation
-    from supplier join customer on c_custkey = s_suppkey where s_nationkey <> c_nationkey
+    with p as (
+        select c_name, s_name, c_nationkey as left_nation, coalesce(s_nationkey, -1) as right_nation
+        from customer left join supplier on s_suppkey = c_custkey
+    )
+    select c_name, 'nation' as field_name, left_nation, right_nation from p where left_nation <> right_nation
     union all
-    select s_name, 'number', s_nationkey, c_nationkey from supplier join customer on c_custkey = s_suppkey
-    where substr(s_name, 10) <> substr(c_name, 10)
+    select c_name, 'number', left_nation, right_nation from p where s_name is null or substr(s_name, 10) <> substr(c_name, 10)
 """)
 def rules_supplier_customer(t: Tables) -> DataFrame:
-    pairs = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey"))
+    """Customers against the supplier of the same number, which many don't have."""
+    pairs = t.customer.join(t.supplier, F.col("s_suppkey") == F.col("c_custkey"), "left")
     rules = [
-        FieldRule("nation", F.col("s_nationkey").cast("string"), F.col("c_nationkey").cast("string")),
-        FieldRule("number", F.col("s_name"), F.col("c_name"), lambda c: F.substr(c, F.lit(10))),
+        FieldRule("nation", F.col("c_nationkey").cast("string"), F.col("s_nationkey").cast("string")),
+        FieldRule("number", F.col("c_name"), F.col("s_name"), lambda c: F.substr(c, F.lit(10))),
     ]
-    found = exploded_failures(reconcile(pairs, rules), "s_name", "s_nationkey", "c_nationkey")
+    found = exploded_failures(reconcile(pairs, rules), "c_name", "c_nationkey", "s_nationkey")
     return found.select(
-        "s_name", "field_name", F.col("s_nationkey").alias("left_nation"),
-        F.col("c_nationkey").alias("right_nation"),
+        "c_name", "field_name", F.col("c_nationkey").alias("left_nation"),
+        F.coalesce("s_nationkey", F.lit(-1)).alias("right_nation"),
     )
 
 
