@@ -125,13 +125,28 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of all texts. Within a batch only the first of equal stretches goes
+    on to meet others; the rest are ``known`` repeats and are dealt out by document,
+    so that a common passage doesn't fill the task of its anchors."""
     for batch in slices(batches, "text", 1 << 20):
         anchor, whole, text, start, n, off = stretches(batch.column("text").cast(pa.binary()).to_pylist())
-        rows = pa.array(text)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(anchor), pa.array(whole), batch.column("doc").take(rows), batch.column("tag").take(rows),
-            *(pa.array(x.astype(np.int32)) for x in (start, n, off)),
-        ], ["anchor", "whole", "doc", "tag", "start", "n", "off"])
+        doc, tag = (np.asarray(batch.column(x)).astype(np.int64)[text] for x in ("doc", "tag"))
+        rows = [anchor, whole, doc, tag, start, n, off]
+        by_anchor = np.argsort(anchor, kind="stable")
+        same = anchor[by_anchor[1:]] == anchor[by_anchor[:-1]]
+        several = by_anchor[np.r_[False, same] | np.r_[same, False]]
+        # few anchors occur more than once in a batch; only their rows are sorted
+        order = several[np.lexsort([x[several] for x in (start, tag, doc, whole, anchor)])]
+        equal = [np.r_[False, x[order[1:]] == x[order[:-1]]] for x in rows[:5]] if len(order) else [np.zeros(0, dtype=bool)] * 5
+        known = np.zeros(len(anchor), dtype=bool)
+        known[order] = equal[0] & equal[1]
+        stay = np.ones(len(anchor), dtype=bool)
+        stay[order] = ~np.logical_and.reduce(equal)
+        rows, known = [x[stay] for x in rows], known[stay]
+        deal = np.where(known, (rows[2].astype(np.uint64) * _A).view(np.int64), rows[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(deal), *(pa.array(x) for x in rows[:3]), *(pa.array(x.astype(np.int32)) for x in rows[3:]), pa.array(known)],
+            ["deal", "anchor", "whole", "doc", "tag", "start", "n", "off", "known"])
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +167,11 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = [np.asarray(batch.column(x)).astype(np.int64) for x in names]
+        known = np.asarray(batch.column("known"))
+        yield out(rows, known, False)
+        rows = [x[~known] for x in rows]
+        if not len(rows[0]):
+            continue
         before = [np.r_[last[k] if last else 0, x[:-1]] for k, x in enumerate(rows)]
         twin = np.logical_and.reduce([before[k] == rows[k] for k in (0, 1, 2, 3, 4)])
         if last is None:
@@ -290,8 +310,8 @@ def _by_window(regions: DataFrame) -> DataFrame:
 def marks(docs: DataFrame, group_size: int = GROUP) -> DataFrame:
     """Runs of repeated windows: doc, tag, start of the first one, n windows."""
     texts = _keyed(docs).where(F.octet_length("text") >= WINDOW)
-    anchors = texts.mapInArrow(_anchors, f"anchor long, whole long, {ROW}")
-    dealt = anchors.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
+    anchors = texts.mapInArrow(_anchors, f"deal long, anchor long, whole long, {ROW}, known boolean")
+    dealt = anchors.repartition("deal").drop("deal").sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
     met = stored(dealt.mapInArrow(_meet, f"anchor long, {ROW}, open boolean"), "met")
     opened = met.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "off")).alias("open"))
     regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
