@@ -55,7 +55,7 @@ def marker_cells(cells: DataFrame, header_reach: int = HEADER_REACH) -> DataFram
     return kept.select(
         *SHEET, "row", F.explode_outer(at).alias("at"), "label", "is_field",
         F.when(F.col("is_content"), F.col("col")).alias("value_col"),
-    )
+    ).repartition("project_name")
 
 
 def sheet_layouts(cells: DataFrame, header_reach: int = HEADER_REACH) -> DataFrame:
@@ -133,6 +133,7 @@ def layout_hits(
     # is settled once per cell and spares the other cells' hits
     value = make_value(cell_kind(c("kind"), c("n")), cell_string(c("kind"), c("s"), c("n")))
     typed = cells.select(*SHEET, "row", "col", "kind", "s", "n", is_meaningful(value).alias("ok"))
+    typed = typed.repartition("project_name")
     # joined by project alone, as the cells are dealt out; the sheet is compared
     # in the conditions below, since a filter would widen the join key
     joined = typed.join(layouts.withColumnRenamed("sheet_idx", "layout_sheet"), "project_name")
@@ -169,7 +170,6 @@ def registry_fields(
     task; a workbook bounds them, and the aggregates hold its labels only.
     """
     c = F.col
-    cells = cells.repartition("project_name")
     layouts = chosen_layouts(sheet_layouts(cells, header_reach))
     hits = layout_hits(cells, layouts, right_reach, down_reach)
     valued = with_cell_value(hits, c("label"), c("kind"), c("s"), c("n"))
