@@ -156,3 +156,37 @@ def test_repeats_of_awkward_rows(spark, docs_of, awkward):
 def test_empty_tables(spark, docs_of):
     none = docs_of([]).limit(0)
     assert simhash.classes(none).count() == simhash.near_copies(none).count() == repeats.remove_repeats(none).count() == 0
+
+
+def shingle_sets(texts, k=5):
+    own = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i:i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set() for w in own]
+
+
+def plain_copies(rows, similarity=0.8):
+    """Smallest id of each row's component of exact shingle similarity."""
+    sets = shingle_sets([t for _, t in rows])
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    root, least = reachable(len(rows), near), {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min([x for x in (least.get(r), i) if x is not None], default=None)
+    return [least[r] for r in root]
+
+
+def test_near_copies_are_verified(spark, docs_of, monkeypatch):
+    """Chains of texts from 0.6 to 1 similar: links are those of the exact similarity, in one block or several."""
+    rnd = random.Random(8)
+    rows = []
+    for g in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(8, 300))]
+        for c in range(5):
+            own = list(words)
+            for _ in range(rnd.randint(0, len(words) // 25 + 1)):
+                own[rnd.randrange(len(own))] = "changed"
+            rows.append((100 * g + c, " ".join(own)))
+    want = plain_copies(rows)
+    assert len(set(want)) > 45
+    for shingles in (1 << 21, 200):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(rows)).collect()}
+        assert got == {i: w for (i, _), w in zip(rows, want)}
