@@ -146,9 +146,11 @@ def sized_blocks(prints: DataFrame, words: list[str], radius: int, similarity: f
     ``radius`` bits and whose sizes lie in the same or in neighbouring classes.
 
     ``prints``: id bigint, size bigint, and the fingerprint's bigint ``words``.
-    Classes grow by the ratio ``similarity``, so no pair of at least that ratio of
-    sizes is missed.
+    Sizes are those of sets (of distinct shingles). Classes grow by the ratio
+    ``similarity``, so no pair of at least that ratio of sizes is missed. Sets that are so
+    small that one more element makes them dissimilar link only with equal fingerprints.
     """
+    least = similarity / (1 - similarity) - 1e-9
     base = float(np.log(1 / similarity))
     rows = stored(prints.select("id", "size", *words, F.when(F.col("size") > 0, F.floor(F.log("size") / base + 1e-9)).otherwise(-9).cast("int").alias("cls")), "prints")
     blocks = stored(rows.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("n")), "classes")
@@ -178,7 +180,7 @@ def sized_blocks(prints: DataFrame, words: list[str], radius: int, similarity: f
         split = int((side == 0).sum())
         alone = bool(frame["c1"].iloc[0] == frame["c2"].iloc[0] and frame["b1"].iloc[0] == frame["b2"].iloc[0])
         forest = Forest(len(fp))
-        link_tiles(fp, np.zeros(len(fp), dtype=np.int8), count, radius, forest, split=None if alone else split)
+        link_tiles(fp, np.zeros(len(fp), dtype=np.int8), count, radius if size.max() >= least else 0, forest, split=None if alone else split)
         tied = np.flatnonzero(forest.root != np.arange(len(fp)))
         return pd.DataFrame({"a": ids[tied], "b": ids[forest.root[tied]]})
 

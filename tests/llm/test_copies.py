@@ -190,3 +190,18 @@ def test_near_copies_are_verified(spark, docs_of, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
         got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(rows)).collect()}
         assert got == {i: w for (i, _), w in zip(rows, want)}
+
+
+def test_near_copies_with_repeated_passages(spark, docs_of):
+    """Sizes are those of distinct shingles: a passage may stand once or many times."""
+    rnd = random.Random(9)
+    rows = []
+    for g in range(6):
+        passage = " ".join(f"p{g}x{k}" for k in range(60))
+        rest = " ".join(f"w{rnd.randrange(5000)}" for _ in range(200))
+        rows += [(10 * g, f"{rest} {passage}"), (10 * g + 1, f"{rest} {passage} {passage} {passage} {passage} {passage} {passage} {passage}")]
+    rows += [(100 + k, x) for k, x in enumerate(["one", "ONE", "a b c d e f", "a b c d e g", "a b c d e f g h", "a b c d e f g h i"])]
+    want = plain_copies(rows)
+    assert want[:4] == [0, 0, 10, 10] and want[-6:] == [100, 100, 102, 103, 104, 104]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(rows)).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, want)}
