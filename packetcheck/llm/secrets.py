@@ -2,8 +2,10 @@
 
 Three kinds of spans are found by pattern: assigned values, access keys, long
 hexadecimal strings. Each value is then looked up over the whole corpus: the
-distinct documents (repositories) and sources (owners) that have it. A value that
-one owner alone has looks live; one that several owners have is a copied example.
+distinct texts (repositories; exact copies count once) and sources (owners) that have it. A
+value that more than a given number of both have is a copied example; any other looks
+live. ``scan`` by itself looks at owners only, as its SQL check does; ``EXAMPLE_OWNERS`` and
+``EXAMPLE_TEXTS`` are for hiding secrets, where a live value left in is worse than an example replaced.
 Live values add a span of kind ``live``; the spans found by pattern all stay.
 
 Positions are code points, ends exclusive. Only DataFrame functions are used: the pieces
@@ -30,6 +32,9 @@ KINDS = (
 LIVE = "live"
 #: A value with more owners is a copied example.
 OWNERS = 1
+#: For hiding secrets: an example has more owners and more texts than these.
+EXAMPLE_OWNERS = 3
+EXAMPLE_TEXTS = 10
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -71,20 +76,20 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """Per value: its hash, in how many documents and with how many owners it is.
+    """Per value: its hash, in how many different texts and with how many owners it is.
 
-    Documents, then owners, are made distinct before they are counted, so the rows of
-    a very common value are combined where they are and spread over the owners.
+    Values are made distinct by text and by owner before they are counted, so the rows of
+    a very common value are combined where they are and spread over both.
     """
-    each = rows.select("doc_id", "key", "owner", F.explode("spans.value").alias("value")).select(F.sha2("value", 256).alias("value"), "owner", "doc_id", "key")
-    by_owner = each.distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("documents"), F.count("*").alias("owners"))
+    each = rows.select("key", "owner", F.explode("spans.value").alias("value")).select(F.sha2("value", 256).alias("value"), "owner", "key")
+    return each.groupBy("value").agg(F.count_distinct("key").alias("texts"), F.count_distinct("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """Per document: doc_id, key, spans by pattern, and ``all_spans`` with the live ones."""
+def scan(docs: DataFrame, owners: int = OWNERS, texts: int = 0) -> DataFrame:
+    """Per document: doc_id, key, spans by pattern, and ``all_spans`` with the live ones:
+    values that no more than ``owners`` owners or no more than ``texts`` texts have."""
     rows = stored(found(docs), "spans")
-    live = ownership(rows).where(F.col("owners") <= owners).select("value")
+    live = ownership(rows).where((F.col("owners") <= owners) | (F.col("texts") <= texts)).select("value")
     each = rows.where(F.size("spans") > 0).select("doc_id", "key", F.explode("spans").alias("s"))
     each = each.withColumn("value", F.sha2("s.value", 256)).join(live, "value", "left_semi")
     span = F.struct(F.col("s.start").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
@@ -102,13 +107,13 @@ def report(scanned: DataFrame) -> DataFrame:
                           F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("all_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", owners: int = OWNERS) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", owners: int = OWNERS, texts: int = 0) -> DataFrame:
     """The documents with live values replaced; texts without one stay as they are.
 
     A value is a plain string of at least eight characters, replaced wherever it stands
     in its document.
     """
-    live = scan(docs, owners).where(F.size("all_spans") > F.size("spans"))
+    live = scan(docs, owners, texts).where(F.size("all_spans") > F.size("spans"))
     values = live.select("doc_id", "key", F.array_distinct(F.transform(
         F.filter("all_spans", lambda x: x["kind"] == len(KINDS)), lambda x: x["value"])).alias("values"))
     # longest first, so that a value inside another is not cut out of it

@@ -166,3 +166,19 @@ def test_bounds_skip_most_pairs_and_miss_none():
     u = v / np.linalg.norm(v, axis=1)[:, None]
     assert linked.tolist() == ((u @ u.T >= 0.98).sum(axis=1) - 1).tolist()
     assert exact < 2000
+
+
+def test_examples_have_many_texts_and_owners(spark, docs_of):
+    """The pipeline hides a value that few owners or few different texts have; copies of a text count once."""
+    import corpus_pipeline
+
+    value = {x: "AKIA" + x * 16 for x in "ABCD"}
+    rows = [(i, f"key {value['A']} copied") for i in range(30)]
+    rows += [(100 + i, f"own {i} {value['B']} text") for i in range(2)]
+    rows += [(200 + i, f"own {i} {value['C']} text") for i in range(30)]
+    rows += [(301 + 4 * i, f"own {i} {value['D']} text") for i in range(30)]
+    docs = docs_of(rows).withColumn("source", (F.col("doc_id") % 4).cast("string"))
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.hide_secrets(spark, docs, "").collect()}
+    assert {i for i, t in clean.items() if "[SECRET]" not in t} == set(range(200, 230))
+    counts = {(r["texts"], r["owners"]) for r in secrets.ownership(secrets.found(docs)).collect()}
+    assert counts == {(1, 4), (2, 2), (30, 4), (30, 1)}
