@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (0.8 of the distinct five-word shingles in common)
-    the document with the smallest doc_id."""
+    one row, that with the smallest doc_id."""
     return simhash.keep_first(docs, simhash.near_copies(docs, shingle=5, similarity=0.8))
 
 

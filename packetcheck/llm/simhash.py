@@ -6,7 +6,7 @@ fingerprint is set if over half the shingles' hashes have it.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any
 other; rows with equal doc_id are separate documents; null doc_ids never name a
-component unless it has no other; an empty table gives an empty result; other
+component unless it has no other, but their texts link and are near copies like others; an empty table gives an empty result; other
 columns are not looked at.
 """
 
@@ -88,7 +88,7 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, radius: int = 80) -> DataFrame:
-    """Per row: doc_id, text_key, component_id, the smallest doc_id reachable over links
+    """Per row: doc_id, text_key, root (of its component), component_id, the smallest doc_id reachable over links
     between texts of which at least ``similarity`` of the distinct shingles are common
     (Jaccard); null where nothing in the component has an id.
 
@@ -107,8 +107,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     texts = stored(texts.withColumn("cluster", F.coalesce("cluster", "node")).drop("node"), "texts")
     roots = components(_verified(docs, texts, names, shingle, similarity, radius), "copies").withColumnsRenamed({"node": "text_key", "component": "root"})
     rooted = stored(texts.select("text_key", "first").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key")), "roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("text_key", "component_id")
-    return prints.join(named, "text_key").select("doc_id", "text_key", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("text_key", "root", "component_id")
+    return prints.join(named, "text_key").select("doc_id", "text_key", "root", "component_id")
 
 
 def _verified(docs: DataFrame, texts: DataFrame, names: list[str], shingle: int, similarity: float, radius: int) -> DataFrame:
@@ -183,8 +183,14 @@ class SimilarSets(Forest):
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of each class the rows of the document that names it; rows equal in doc_id
-    and text stay or go together, and nothing goes where no row has an id."""
-    other = classes.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(other, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
+    """One row of each class: the first by doc_id (nulls last), text_key and, where several
+    rows are equal in both, the whole row (so columns must be orderable)."""
+    each = classes.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("own"))
+    first = stored(first.select(F.col("own.doc_id").alias("own_id"), F.col("own.text_key").alias("own_key"), F.col("own.n").alias("n")), "first")
+    # stored apart, so that its true size is known and the second reading of docs need not be dealt out
+    repeated = stored(first.where("n > 1"), "repeated")
+    match = docs["doc_id"].eqNullSafe(F.col("own_id")) & (F.xxhash64(docs["text"]) == F.col("own_key"))
+    single = docs.join(first.where("n = 1"), match, "left_semi")
+    several = docs.join(repeated, match).groupBy("own_id", "own_key").agg(F.min(F.struct(*(docs[x] for x in docs.columns))).alias("row"))
+    return single.unionByName(several.select("row.*"))

@@ -205,3 +205,15 @@ def test_near_copies_with_repeated_passages(spark, docs_of):
     assert want[:4] == [0, 0, 10, 10] and want[-6:] == [100, 100, 102, 103, 104, 104]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(rows)).collect()}
     assert got == {i: w for (i, _), w in zip(rows, want)}
+
+
+def test_one_row_of_each_class_stays(spark, docs_of):
+    """Texts without an id bridge others and go as copies; equal rows go but for one."""
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(["new"] * k + words[k:]) for k in (0, 10, 20)]
+    ids = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (3, "a b c d e f"), (3, "a b c d e f"), (None, "some text"), (None, "some  text"), (None, "some text"), (None, None)]
+    docs = docs_of(ids).withColumn("n_chars", F.rand(1))
+    kept = simhash.keep_first(docs, simhash.near_copies(docs))
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), " ".join((r["text"] or "null").split())) for r in kept.collect())
+    assert got == sorted([("1", texts[0]), ("3", "a b c d e f"), ("None", "some text"), ("None", "null")])
