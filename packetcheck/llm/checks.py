@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetcheck.llm import embeddings, secrets, url_rules
+from packetcheck.llm import embeddings, infill, mixing, secrets, url_rules
 
 
 def secret_scans() -> str:
@@ -123,3 +123,111 @@ def url_verdicts(rules: list[tuple[str, str]]) -> str:
            case {verdict} when blocked.tokens is not null then '{url_rules.BLOCK}' else '{url_rules.ALLOW}' end as verdict
     from tokened left join blocked on blocked.tokens = tokened.tokens
     """
+
+
+def source_mixing() -> str:
+    """Targets, all quotients in one order, and blocks by their places."""
+    block, seed = mixing.BLOCK, mixing.SEED
+    weights = "[" + ", ".join(f"{float(x)}" for x in mixing.WEIGHTS) + "]"
+
+    def number(text: str) -> str:
+        return f"cast('0x' || substr(md5({text}), 1, 15) as bigint)"
+
+    def picked(at: str) -> str:
+        return f"(({at}) * picked + phase) // blocks"
+
+    def before(position: str) -> str:
+        at = f"(({position}) // {block})"
+        return f"({block} * ({picked(at)}) + (({position}) - {block} * {at}) * ({picked(at + ' + 1')} - {picked(at)}))"
+
+    return f"""
+    with docs as (
+        select doc_id, source, coalesce('+' || source, '-') as key,
+               cast(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) as bigint) as size,
+               {number(f"'{seed}:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))")} as drawn
+        from documents
+    ),
+    sources as (select source, key, cast(sum(size) as bigint) as words from docs group by source, key),
+    weighed as (
+        select key, words, words * {float(mixing.MOST)} as bound,
+               ({weights})[1 + (row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)}] as weight from sources
+    ),
+    shared as (
+        select *, sum(bound) over o as bounds, sum(weight) over o as weights,
+               {mixing.SHARE} * sum(words) over () as total, sum(weight) over () as all_weights
+        from weighed window o as (order by bound / weight, key rows between unbounded preceding and current row)
+    ),
+    reached as (select *, bound * (all_weights - weights + weight) <= weight * (total - bounds + bound) as full_ from shared),
+    rest as (
+        select (any_value(total) - coalesce(sum(bound) filter (full_), 0)) / greatest(any_value(all_weights) - coalesce(sum(weight) filter (full_), 0), 1e-300) as rest_
+        from reached
+    ),
+    aimed as (
+        select key, words, case when full_ then bound else weight * rest_ end as target,
+               greatest(1, cast(ceil(words / {float(mixing.SHARD)}) as bigint)) as shards
+        from reached, rest
+    ),
+    seat as (
+        select key, target / (2 * k - 1) as quotient, k
+        from (select key, target, unnest(range(1, cast(2 * target / {block} as bigint) + 3)) as k from aimed where target > 0)
+    ),
+    quotas as (
+        select key, count(*) as seats from (select key, row_number() over (order by quotient desc, key, k) as place from seat)
+        where place <= (select round_even(sum(target) / {block}, 0) from aimed) group by key
+    ),
+    dealt as (select d.*, a.words as source_size, a.target, d.drawn % a.shards as shard from docs d join aimed a on a.key = d.key),
+    cells as (select key, shard, cast(sum(size) as bigint) as words, greatest(1, cast(ceil(sum(size) / {float(block)}) as bigint)) as blocks from dealt group by key, shard),
+    cell_seat as (
+        select c.key, shard, seats, words / (2 * k - 1) as quotient, k
+        from (select *, unnest(range(1, 4 * blocks + 3)) as k from cells where words > 0) c join quotas q on q.key = c.key
+    ),
+    given as (
+        select key, shard, count(*) as quota
+        from (select *, row_number() over (partition by key order by quotient desc, shard, k) as place from cell_seat) where place <= seats
+        group by key, shard
+    ),
+    clipped as (
+        select c.key, c.shard, blocks, least(coalesce(quota, 0), {mixing.MOST} * blocks) as quota,
+               {number(f"'{seed}:' || c.key || ':' || c.shard")} % blocks as phase
+        from cells c left join given g on g.key = c.key and g.shard = c.shard
+    ),
+    placed as (
+        select d.*, c.quota // c.blocks as passes, c.quota % c.blocks as picked, c.blocks, c.phase,
+               cast(sum(size) over (partition by d.key, d.shard order by drawn, doc_id nulls first rows between unbounded preceding and current row) as bigint) - size as start
+        from dealt d join clipped c on c.key = d.key and c.shard = d.shard
+    )
+    select doc_id, size, source_size, target, cast(passes * size + {before("start + size")} - {before("start")} as bigint) as taken from placed
+    """
+
+
+def fill_in_middle() -> str:
+    """Units by pattern, cut and joined as lists."""
+    def drawn(k: int) -> str:
+        return f"cast('0x' || substr(sha256('{infill.SEED}:' || coalesce(cast(doc_id as varchar), '')), {8 * k + 1}, 8) as bigint)"
+
+    marked = " or ".join(f"contains(text, '{x}')" for x in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    return f"""
+    with units as (
+        select doc_id, coalesce(text, '') as text, {", ".join(f"{drawn(k)} as h{k + 1}" for k in range(4))},
+               regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+        from documents
+    ),
+    cuts as (
+        select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+               case when text = '' or {marked} or h3 % 100 >= {infill.SHARE} then '{infill.PLAIN}'
+                    when h4 % 100 < {infill.SUFFIX_FIRST} then '{infill.SPM}' else '{infill.PSM}' end as form
+        from units
+    ),
+    parts as (
+        select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from cuts
+    ),
+    outputs as (
+        select *, case form when '{infill.PLAIN}' then text when '{infill.PSM}' then '{infill.PREFIX}' || prefix || '{infill.SUFFIX}' || suffix || '{infill.MIDDLE}' || middle
+                  else '{infill.SUFFIX}' || suffix || '{infill.PREFIX}' || prefix || '{infill.MIDDLE}' || middle end as output
+        from parts
+    )
+    select doc_id, n, form, case when form <> '{infill.PLAIN}' then length(prefix) end as prefix_chars,
+           case when form <> '{infill.PLAIN}' then length(middle) end as middle_chars, sha256(output) as output_sha256,
+           sha256(case when form = '{infill.PLAIN}' then output else prefix || middle || suffix end) as restored_sha256
+    from outputs
+    """

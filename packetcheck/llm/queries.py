@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetcheck.llm import (
-    checks, decontamination, embeddings, language, packing, quality, repeats, secrets, simhash, token_files, url_rules,
+    checks, decontamination, embeddings, infill, language, mixing, packing, quality, repeats, secrets, simhash, token_files, url_rules, whitening,
 )
 from packetcheck.llm.common import table
 from packetcheck.session import shared_dir
@@ -25,6 +25,8 @@ CHECKS: dict[str, str] = {
     "op7_url_rules": checks.url_verdicts(URL_RULES),
     "op9_secret_scans": checks.secret_scans(),
     "op10_embedding_near_dedup": checks.embedding_links(),
+    "op11_source_mixing": checks.source_mixing(),
+    "op13_fill_in_middle": checks.fill_in_middle(),
 }
 
 
@@ -85,3 +87,18 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))

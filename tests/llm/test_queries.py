@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(CHECKS) <= set(entry.oracle_sql())
 
@@ -25,7 +25,7 @@ def test_queries_equal_their_sql(spark, name, sf):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
 def test_queries_return_all_rows(spark, name):
-    key, table = ("page_id", "pages") if name.startswith("op7") else ("doc_id", "documents")
+    key, table = {"op7": ("page_id", "pages"), "op12": ("vec_id", "embeddings")}.get(name.split("_")[0], ("doc_id", "documents"))
     found = QUERIES[name](spark, SF).select(key).distinct().count()
     assert found == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
