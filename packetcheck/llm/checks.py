@@ -11,21 +11,21 @@ def secret_scans() -> str:
     for no, (kind, pattern, group, least) in enumerate(secrets.KINDS):
         p = "'" + pattern.replace("'", "''") + "'"
         parts.append(f"""
-            select doc_id, owner, '{kind}' as kind, {no} as no, {least} as least, regexp_extract_all(text, {p}) as m,
+            select doc_id, owner, key, '{kind}' as kind, {no} as no, {least} as least, regexp_extract_all(text, {p}) as m,
                    regexp_extract_all(text, {p}, {group}) as g, string_split_regex(text, {p}) as p from docs""")
     return f"""
     with docs as (
-        select doc_id, coalesce(text, '') as text, coalesce('source ' || source, 'doc ' || coalesce(doc_id, '')) as owner
+        select doc_id, coalesce(text, '') as text, md5(coalesce(text, '')) as key, coalesce('source ' || source, 'doc ' || coalesce(doc_id, '')) as owner
         from documents
     ),
     matched as ({' union all '.join(parts)}),
     numbered as (select *, unnest(range(1, len(m) + 1)) as i from matched),
     spans as (
-        select doc_id, owner, kind, no, len(m[i]) as size, g[i] as value,
+        select doc_id, owner, key, kind, no, len(m[i]) as size, g[i] as value,
                list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) as start
         from numbered where len(g[i]) >= least
     ),
-    owners as (select value, count(distinct owner) as n from spans group by value),
+    owners as (select value, count(distinct owner) as n, count(distinct key) as texts from spans group by value),
     base as (
         select doc_id, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access, count(*) filter (no = 2) as n_hex,
                string_agg(kind || ':' || start || ':' || start + size, ',' order by start, no) as listed
@@ -35,7 +35,7 @@ def secret_scans() -> str:
         select doc_id, kind, no, cast(start as bigint) as start, size from spans
         union all
         select doc_id, '{secrets.LIVE}', {len(secrets.KINDS)}, cast(start as bigint), size
-        from spans join owners on owners.value = spans.value where n <= {secrets.OWNERS}
+        from spans join owners on owners.value = spans.value where n <= {secrets.OWNERS} or texts <= {secrets.TEXTS}
     ),
     listed as (
         select doc_id, string_agg(kind || ':' || start || ':' || start + size, ',' order by start, no) as spans from every group by doc_id
@@ -89,6 +89,8 @@ def url_verdicts(rules: list[tuple[str, str]]) -> str:
     def marked(mark: str, values: str) -> str:
         return f"list_transform(list_filter({values}, lambda x: x <> ''), lambda x: '{mark} ' || x)"
 
+    d = url_rules.DEVIATIONS
+    d2 = d * d
     segments = "list_transform(string_split(lower(path), '/'), lambda x: regexp_replace(x, '\\.[a-z0-9]+$', ''))"
     return f"""
     with parts as (
@@ -115,8 +117,10 @@ def url_verdicts(rules: list[tuple[str, str]]) -> str:
         from masks group by 1
     ),
     mined as (
-        select subset from subsets
-        where n_bad >= ceil({url_rules.MIN_SUPPORT} * (select count(*) from labelled)) and n_bad >= {url_rules.MIN_CONFIDENCE} * n
+        select subset from (select subset, n_bad, cast(n as double) as n, n_bad / cast(n as double) as c from subsets)
+        where n_bad >= {url_rules.MIN_COUNT} and c >= {url_rules.MIN_CONFIDENCE}
+              and (c + {d2} / (2 * n) - {d} * sqrt(c * (1 - c) / n + {d2} / (4 * n * n))) / (1 + {d2} / n)
+                  > (select count(*) filter (bad) / cast(count(*) as double) from labelled)
     ),
     blocked as (select distinct tokens from tokened join mined on list_has_all(tokens, subset))
     select page_id, host, path, case {rule} end as rule,

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetcheck.session import stored
@@ -37,6 +37,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct column ``row``."""
+    return F.struct(*(F.col("`" + x.replace("`", "``") + "`") for x in df.columns)).alias("row")
+
+
 def strings(array: pa.Array) -> list[str]:
     """Texts with nulls as empty."""
     return array.fill_null("").to_pylist()

@@ -8,16 +8,21 @@ compared: a passage is a stretch of ``span`` item tokens (or the whole item, if
 shorter) of which the share ``similarity`` is equal.
 
 The benchmark is the stated query set: it goes to the tasks in blocks of at most
-``block`` tokens, every document being compared with all of them.
+``block`` tokens, every document being compared with all of them. A block's result is
+written before the next one is read, so that driver and tasks hold one at a time.
+
+Items shorter than the masks have a seed of their own: of so few tokens as must stand unchanged next
+to each other however the substitutions allowed are placed.
 
 Tokens are runs of letters, digits and underscores, lower-cased. Defined cases: null
 and empty texts have no passages; items without tokens are never found; items
-with equal text are all reported; rows with equal doc_id get a result each; an
+with equal text are all reported, those without an id as null; rows with equal doc_id get a result each; an
 empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetcheck.llm.common import slices, strings
+from packetcheck.session import stored
 
 #: 1: the token counts for the hash.
 MASKS = ("11011", "1010011", "1100101")
@@ -50,23 +56,26 @@ class Seeds:
     part of a hit.
     """
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int | None, str]], masks: tuple[str, ...] = MASKS, similarity: float = SIMILARITY):
         self.number: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[int | None, np.ndarray]] = []
         for item, text in items:
             ids = [self.number.setdefault(x, len(self.number) + 1) for x in tokens(text)]
             if ids:
                 self.items.append((item, np.array(ids, dtype=np.int64)))
-        shapes = {m: np.array([k for k, x in enumerate(m) if x == "1"]) for m in masks}
         longest = max(map(len, masks))
-        #: an item too short for the masks is a seed as a whole
-        shapes |= {"1" * len(ids): np.arange(len(ids)) for _, ids in self.items if len(ids) < longest}
+        shapes: dict[str, list[int]] = {}
+        for k, (_, ids) in enumerate(self.items):
+            for shape in masks if len(ids) >= longest else [self.short_seed(len(ids), similarity)]:
+                shapes.setdefault(shape, []).append(k)
         self.tables = []
-        for shape, offsets in shapes.items():
+        for shape, own in shapes.items():
+            offsets = np.array([k for k, x in enumerate(shape) if x == "1"])
             hashes, owner, at = [], [], []
-            for k, (_, ids) in enumerate(self.items):
+            for k in own:
+                ids = self.items[k][1]
                 n = len(ids) - len(shape) + 1
-                if n > 0 and (len(ids) >= longest or n == 1):
+                if n > 0:
                     hashes.append(self.hash(ids, offsets, n))
                     owner += [k] * n
                     at += range(n)
@@ -75,6 +84,12 @@ class Seeds:
                 order = np.argsort(joined, kind="stable")
                 self.tables.append((len(shape), offsets, joined[order], np.array(owner)[order], np.array(at)[order]))
 
+    @staticmethod
+    def short_seed(n: int, similarity: float) -> str:
+        """The longest run of equal tokens that n tokens have in any case."""
+        free = n - math.ceil(similarity * n - 1e-9)
+        return "1" * max(1, -(-(n - free) // (free + 1)))
+
     @staticmethod
     def hash(ids: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n, dtype=np.uint64)
@@ -107,7 +122,7 @@ class Seeds:
                 found.update((int(owner[k]), int(p) - int(at[k])) for k in range(a, b))
         return found
 
-    def passages(self, ids: np.ndarray, span: int, similarity: float) -> list[tuple[int, float, int, int]]:
+    def passages(self, ids: np.ndarray, span: int, similarity: float) -> list[tuple[int | None, float, int, int]]:
         """(item id, share of equal tokens in its best stretch, first token, tokens)."""
         out = []
         for k, begin in sorted(self.diagonals(ids)):
@@ -124,14 +139,14 @@ class Seeds:
         return out
 
 
-def blocks_of(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Seeds]:
-    """The benchmark's items with their seeds, in blocks of about ``block`` tokens."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
-    size = items.agg(F.sum(F.size(F.split("text", r"\W+")) + 1)).first()[0] or 0
+def blocks_of(benchmark: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY) -> Iterator[tuple[Seeds, bool]]:
+    """The benchmark's items with their seeds, in blocks of about ``block`` tokens, and whether it is the last."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
+    size = items.agg(F.sum(F.size(F.split("text", r"(?U)\W+")) + 1)).first()[0] or 0
     blocks = -(-size // block) or 1
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield Seeds([(r["item_id"], r["text"]) for r in part])
+        yield Seeds([(r["item_id"], r["text"]) for r in part], similarity=similarity), k == blocks - 1
 
 
 def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -140,7 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: fl
     kind = docs.schema["doc_id"].dataType.simpleString()
     passage = "struct<item_id:bigint,similarity:double,token:int,n_tokens:int>"
     found = None
-    for seeds in blocks_of(benchmark, block):
+    for seeds, last in blocks_of(benchmark, block, similarity):
 
         def search(batches: Iterable[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             # each pass adds its block's passages to those of the passes before
@@ -158,6 +173,7 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: fl
 
         source = docs.select("doc_id", "text") if found is None else found
         found = source.mapInArrow(search, f"doc_id {kind}, text string, passages array<{passage}>")
+        found = found if last else stored(found, "passages")
     return found.select(
         "doc_id", (F.size("passages") > 0).alias("contaminated"), F.array_sort(F.array_distinct("passages.item_id")).alias("item_ids"),
         F.coalesce(F.array_max("passages.similarity"), F.lit(0.0)).alias("similarity"), "passages")
@@ -168,11 +184,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, similarity: f
 
     A block at a time filters the rows where they are; nothing is shuffled.
     """
-    for seeds in blocks_of(benchmark, block):
+    for seeds, last in blocks_of(benchmark, block, similarity):
 
         def each(batches: Iterable[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 yield batch.filter(pa.array([not seeds.passages(seeds.number_all(x), span, similarity) for x in strings(batch.column("text"))], pa.bool_()))
 
         docs = docs.mapInArrow(each, docs.schema)
+        docs = docs if last else stored(docs, "clean")
     return docs

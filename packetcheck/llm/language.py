@@ -30,7 +30,6 @@ WINDOW = 256
 EMBEDDING = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-STRIDE = 2
 PER_LANGUAGE = 600
 WINDOWS = 3
 EPOCHS = 12
@@ -58,9 +57,9 @@ class ByteNetwork:
         self.offset = np.zeros(len(languages), dtype=np.float32)
 
     def places(self, windows: np.ndarray) -> np.ndarray:
-        """Bytes under the filters at each place: windows x places x reach."""
-        padded = np.pad(windows, ((0, 0), (0, self.reach - STRIDE)))
-        return np.lib.stride_tricks.sliding_window_view(padded, self.reach, axis=1)[:, ::STRIDE]
+        """Bytes under the filters at each place, which is every byte: windows x places x reach."""
+        padded = np.pad(windows, ((0, 0), (0, self.reach - 1)))
+        return np.lib.stride_tricks.sliding_window_view(padded, self.reach, axis=1)
 
     def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         under = self.places(windows)
@@ -76,6 +75,30 @@ class ByteNetwork:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def gradients(self, windows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, by name of what it is taken with respect to."""
+        under, seen, response = self.pooled(windows)
+        best = response.argmax(axis=1)
+        top = np.take_along_axis(response, best[:, None], axis=1)[:, 0] + self.bias
+        hidden = np.maximum(top, 0)
+        z = hidden @ self.weights + self.offset
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(windows)), labels] -= 1
+        z /= len(windows)
+        grad = {"weights": hidden.T @ z, "offset": z.sum(axis=0)}
+        back = (z @ self.weights.T) * (top > 0)
+        grad["bias"] = back.sum(axis=0)
+        n, places = under.shape[:2]
+        rows = (np.arange(n)[:, None] * places + best)
+        grad["filters"] = np.einsum("nfe,nf->ef", seen[rows], back) * self.open
+        onto = np.einsum("nf,ef->nfe", back, self.filters).reshape(-1, EMBEDDING)
+        bytes_under = under.reshape(n * places, -1)[rows].reshape(-1)
+        grad["embedding"] = np.zeros_like(self.embedding)
+        np.add.at(grad["embedding"], bytes_under, onto)
+        grad["embedding"][0] = 0
+        return grad
+
     def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 64) -> None:
         """Adam on the mean cross-entropy."""
         rng = np.random.default_rng(_SEED)
@@ -87,26 +110,7 @@ class ByteNetwork:
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
                 pick = order[at:at + batch]
-                under, seen, response = self.pooled(windows[pick])
-                best = response.argmax(axis=1)
-                top = np.take_along_axis(response, best[:, None], axis=1)[:, 0] + self.bias
-                hidden = np.maximum(top, 0)
-                z = hidden @ self.weights + self.offset
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(pick)), labels[pick]] -= 1
-                z /= len(pick)
-                grad = {"weights": hidden.T @ z, "offset": z.sum(axis=0)}
-                back = (z @ self.weights.T) * (top > 0)
-                grad["bias"] = back.sum(axis=0)
-                n, places = under.shape[:2]
-                rows = (np.arange(n)[:, None] * places + best)
-                grad["filters"] = np.einsum("nfe,nf->ef", seen[rows], back) * self.open
-                onto = np.einsum("nf,ef->nfe", back, self.filters).reshape(-1, EMBEDDING)
-                bytes_under = under.reshape(n * places, -1)[rows].reshape(-1)
-                grad["embedding"] = np.zeros_like(self.embedding)
-                np.add.at(grad["embedding"], bytes_under, onto)
-                grad["embedding"][0] = 0
+                grad = self.gradients(windows[pick], labels[pick])
                 step += 1
                 for k in names:
                     first[k] += 0.1 * (grad[k] - first[k])

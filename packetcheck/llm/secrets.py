@@ -4,8 +4,7 @@ Three kinds of spans are found by pattern: assigned values, access keys, long
 hexadecimal strings. Each value is then looked up over the whole corpus: the
 distinct texts (repositories; exact copies count once) and sources (owners) that have it. A
 value that more than a given number of both have is a copied example; any other looks
-live. ``scan`` by itself looks at owners only, as its SQL check does; ``EXAMPLE_OWNERS`` and
-``EXAMPLE_TEXTS`` are for hiding secrets, where a live value left in is worse than an example replaced.
+live, also if one text is copied many times.
 Live values add a span of kind ``live``; the spans found by pattern all stay.
 
 Positions are code points, ends exclusive. Only DataFrame functions are used: the pieces
@@ -21,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetcheck.llm.common import as_row
 from packetcheck.session import stored
 
 #: Kind, pattern, group that is the value, and the value's least length.
@@ -30,11 +30,9 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 LIVE = "live"
-#: A value with more owners is a copied example.
-OWNERS = 1
-#: For hiding secrets: an example has more owners and more texts than these.
-EXAMPLE_OWNERS = 3
-EXAMPLE_TEXTS = 10
+#: A copied example has more owners and more different texts than these.
+OWNERS = 3
+TEXTS = 10
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -85,7 +83,7 @@ def ownership(rows: DataFrame) -> DataFrame:
     return each.groupBy("value").agg(F.count_distinct("key").alias("texts"), F.count_distinct("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, owners: int = OWNERS, texts: int = 0) -> DataFrame:
+def scan(docs: DataFrame, owners: int = OWNERS, texts: int = TEXTS) -> DataFrame:
     """Per document: doc_id, key, spans by pattern, and ``all_spans`` with the live ones:
     values that no more than ``owners`` owners or no more than ``texts`` texts have."""
     rows = stored(found(docs), "spans")
@@ -107,7 +105,7 @@ def report(scanned: DataFrame) -> DataFrame:
                           F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("all_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", owners: int = OWNERS, texts: int = 0) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", owners: int = OWNERS, texts: int = TEXTS) -> DataFrame:
     """The documents with live values replaced; texts without one stay as they are.
 
     A value is a plain string of at least eight characters, replaced wherever it stands
@@ -119,7 +117,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owners: int = OWNERS, texts:
     # longest first, so that a value inside another is not cut out of it
     longest = F.array_sort(F.col("values"), lambda a, b: F.length(b) - F.length(a))
     values = values.groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(F.first(longest).alias("values"))
-    keyed = docs.withColumn("own_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(values, keyed["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("own_text_key") == F.col("own_key")), "left")
-    clean = F.when(F.col("values").isNull(), F.col("text")).otherwise(F.aggregate("values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    # the documents' columns stay in a struct, so their names meet no others
+    keyed = docs.select(as_row(docs), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    joined = keyed.join(values, F.col("row.doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
+    text = F.col("row.text")
+    clean = F.when(F.col("values").isNull(), text).otherwise(F.aggregate("values", text, lambda t, v: F.replace(t, v, F.lit(mark))))
+    return joined.select(F.col("row").withField("text", clean).alias("row")).select("row.*")

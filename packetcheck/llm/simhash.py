@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetcheck.llm import tiles
-from packetcheck.llm.common import Forest, components, slices
+from packetcheck.llm.common import Forest, as_row, components, slices
 from packetcheck.session import stored
 
 SEED = 42
@@ -184,13 +184,15 @@ class SimilarSets(Forest):
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of each class: the first by doc_id (nulls last), text_key and, where several
-    rows are equal in both, the whole row (so columns must be orderable)."""
+    rows are equal in both, the hash of the whole row."""
     each = classes.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("own"))
     first = stored(first.select(F.col("own.doc_id").alias("own_id"), F.col("own.text_key").alias("own_key"), F.col("own.n").alias("n")), "first")
     # stored apart, so that its true size is known and the second reading of docs need not be dealt out
     repeated = stored(first.where("n > 1"), "repeated")
-    match = docs["doc_id"].eqNullSafe(F.col("own_id")) & (F.xxhash64(docs["text"]) == F.col("own_key"))
-    single = docs.join(first.where("n = 1"), match, "left_semi")
-    several = docs.join(repeated, match).groupBy("own_id", "own_key").agg(F.min(F.struct(*(docs[x] for x in docs.columns))).alias("row"))
-    return single.unionByName(several.select("row.*"))
+    # the documents' columns stay in a struct, so their names meet no others
+    rows = docs.select(as_row(docs), F.xxhash64("text").alias("text_key"))
+    match = F.col("row.doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
+    single = rows.join(first.where("n = 1"), match, "left_semi").select("row")
+    several = rows.join(repeated, match).groupBy("own_id", "own_key").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return single.unionByName(several.select("row")).select("row.*")

@@ -3,8 +3,9 @@
 A url's tokens are its host labels, path segments, file extension, query keys
 and the presence of a fragment (segments of digits only are left out). Spark's
 FP-growth finds the token combinations that are frequent among the labelled urls;
-those whose urls are blocked often enough become rules. A rule is filed under its
-rarest token, so that a url meets only rules that share that token with it.
+those that enough bad urls hold, and whose urls are bad beyond what chance makes of the share of
+bad urls, become rules. A rule is filed under its rarest token, so that a url meets only rules
+that share that token with it.
 
 Everything is DataFrame operations and Spark's own FP-growth. Defined cases: a null url
 or one without ``://`` has an empty host and path, no token, and is allowed unless
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from packetcheck.session import stored
 
 ALLOW, BLOCK = "allow", "block"
-MIN_SUPPORT = 0.01
+#: Bad urls that hold a rule's tokens, whatever the table's size.
+MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
+#: So many deviations below the confidence it still has to be above the share of bad urls.
+DEVIATIONS = 3.0
 _BAD = "=block"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#)?"
@@ -66,13 +70,28 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return found
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Block rules (tokens, confidence, support) from rows of tokens and bad."""
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    if items.isEmpty():
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    return model.associationRules.where(F.col("consequent")[0] == _BAD).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+def lower_bound(share: Column, n: Column, deviations: float) -> Column:
+    """What a share of n draws is at least, by Wilson's interval."""
+    d2 = deviations * deviations
+    return (share + d2 / (2 * n) - deviations * F.sqrt(share * (1 - share) / n + d2 / (4 * n * n))) / (1 + d2 / n)
+
+
+def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, deviations: float = DEVIATIONS) -> DataFrame:
+    """Block rules (tokens, n, n_bad) from rows of tokens and bad.
+
+    Of the labelled urls n hold a rule's tokens, and n_bad of those are bad.
+    """
+    items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_BAD)))).otherwise(F.col("tokens"))
+    rows = stored(labelled.where(F.size("tokens") > 0).select(items.alias("items"), "bad"), "labelled")
+    total, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if bad < min_count:
+        return labelled.sparkSession.createDataFrame([], "tokens array<string>, n long, n_bad long")
+    # the count needed is this support rounded up
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total, minConfidence=min_confidence).fit(rows)
+    found = model.associationRules.where(F.col("consequent")[0] == _BAD)
+    n_bad = F.round(F.col("support") * total).cast("long")
+    counted = found.select(F.array_sort("antecedent").alias("tokens"), F.round(n_bad / F.col("confidence")).cast("long").alias("n"), n_bad.alias("n_bad"))
+    return counted.where(lower_bound(F.col("n_bad") / F.col("n"), F.col("n"), deviations) > bad / total)
 
 
 def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -80,13 +99,15 @@ def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     # how often a token stands in rules' urls isn't known to the rules, so count it here
     often = pages.select(F.explode("tokens").alias("token")).groupBy("token").count()
     ranked = rules.withColumn("rule", F.xxhash64("tokens")).select("rule", "tokens", F.explode("tokens").alias("token")).join(often, "token")
-    index = ranked.groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("token"), F.first("tokens").alias("needed")).drop("rule")
+    filed = ranked.groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("token"), F.first("tokens").alias("needed"))
+    # one row a token, so that a page meets it once however many rules are filed there
+    index = filed.groupBy("token").agg(F.collect_list("needed").alias("rules"))
     met = pages.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return met.where(F.size(F.array_except("needed", "tokens")) == 0).select("key").distinct()
+    return met.where(F.exists("rules", lambda x: F.size(F.array_except(x, F.col("tokens"))) == 0)).select("key").distinct()
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_support: float = MIN_SUPPORT,
-          min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_count: int = MIN_COUNT,
+          min_confidence: float = MIN_CONFIDENCE, deviations: float = DEVIATIONS) -> DataFrame:
     """page_id, host, path, rule, verdict for every page.
 
     A page is labelled by the document its url numbers (the first segment of digits):
@@ -99,7 +120,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
         F.regexp_extract(path_of(url), r"/(\d{1,18})(?=[/.]|$)", 1).try_cast("long").alias("doc_id")), "urls")
     known = labels.groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     numbered = rows.join(different.select(F.col("key").alias("url"), "tokens", "doc_id"), "url")
-    mined = stored(mine(numbered.join(known, "doc_id").select("tokens", "bad"), min_support, min_confidence), "mined")
+    mined = stored(mine(numbered.join(known, "doc_id").select("tokens", "bad"), min_count, min_confidence, deviations), "mined")
     blocked = matches(different, mined).select(F.col("key").alias("url"), F.lit(BLOCK).alias("mined"))
     fixed = longest_rule(F.col("host"), F.col("path"), rules)
     return rows.join(blocked, "url", "left").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "mined") \

@@ -1,6 +1,18 @@
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from packetcheck import llm
+
+
+#: Names that the operators use inside, taken from their code.
+CLASHES = sorted({
+    name for path in Path(llm.__path__[0]).glob("*.py")
+    for name in re.findall(r"""alias\("(\w+)"\)|withColumn\("(\w+)\"""", path.read_text()) for name in name
+} - {"", "doc_id", "text", "lang", "source", "n_chars"})
+
 
 @pytest.fixture
 def docs_of(spark):
@@ -9,7 +21,7 @@ def docs_of(spark):
     def make(rows):
         rows = [(i, x) if not isinstance(x, tuple) else x for i, x in enumerate(rows)]
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        extra = {x: F.lit(1) for x in ("key", "fp", "id", "size", "count", "part", "tag", "value", "rank", "label")}
+        extra = {x: F.lit(1) for x in CLASHES}
         return df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text"), **extra})
     return make
 

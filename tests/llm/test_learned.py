@@ -20,30 +20,34 @@ def plain_passages(text, items, span=20, similarity=0.8):
             if any(all(inside[k:k + width]) and sum(equal[k:k + width]) >= similarity * width - 1e-9 for k in range(len(words) - width + 1) if words):
                 found.append(item)
                 break
-    return sorted(set(found))
+    return sorted(set(found), key=lambda x: (x is None, x))
 
 
 def test_passages_equal_brute_force(spark, docs_of, awkward):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 8, 18, 25, 50])))) for i in range(30)]
-    items += [(40, items[0][1]), (41, ""), (42, None), (None, "x y z")]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 5, 6, 8, 18, 25, 50])))) for i in range(30)]
+    items += [(40, items[0][1]), (41, ""), (42, None), (None, "x y z"), (None, "a passage without any number of its own")]
     rows = []
     for i in range(120):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 80))]
         if rnd.random() < 0.6:
-            passage = rnd.choice(items[:30])[1].split()
-            # two substitutions in a long passage leave seeds between them
-            for _ in range(2 if len(passage) > 17 else 0):
+            passage = rnd.choice([*items[:30], items[-1]])[1].split()
+            # two substitutions in a long passage leave seeds between them, one in a short one
+            for _ in range(2 if len(passage) > 17 else rnd.randint(0, 1)):
                 passage[rnd.randrange(len(passage))] = "other"
             at = rnd.randint(0, len(words))
             words[at:at] = passage if rnd.random() < 0.8 else passage[:len(passage) // 2]
         rows.append((100 + i, " ".join(words).upper() if i % 5 == 0 else ", ".join(words)))
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    want = sorted((str(i), plain_passages(t, [x for x in items if x[0] is not None])) for i, t in rows + awkward)
+    want = sorted(((str(i), plain_passages(t, items)) for i, t in rows + awkward), key=repr)
+    assert any(None in x for _, x in want)
+    for n in (5, 6):
+        short = {i for i, t in items if len((t or "").split()) == n}
+        assert short and any(short & set(x) for _, x in want)
     for block in (1 << 20, 150):
         got = decontamination.find(docs_of(rows + awkward), benchmark, block=block)
-        assert sorted((str(r["doc_id"]), r["item_ids"]) for r in got.collect()) == want
+        assert sorted(((str(r["doc_id"]), r["item_ids"]) for r in got.collect()), key=repr) == want
         kept = decontamination.clean(docs_of(rows + awkward), benchmark, block=block)
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(i for i, x in want if not x)
     assert got.where("contaminated").count() > 40
@@ -142,7 +146,32 @@ def test_training_gradient():
     rng = np.random.default_rng(2)
     windows, labels = rng.integers(97, 110, (16, language.WINDOW)).astype(np.uint8), rng.integers(0, 2, 16)
     network = language.ByteNetwork(["a", "b"])
-    before = -network.log_probabilities(windows)[np.arange(16), labels].mean()
+    network.bias += 3
+    names = ("embedding", "filters", "bias", "weights", "offset")
+    for name in names:
+        setattr(network, name, getattr(network, name).astype(np.float64))
+
+    def loss():
+        return -network.log_probabilities(windows)[np.arange(16), labels].mean()
+    gradients = network.gradients(windows, labels)
+    for name in names:
+        value, known = getattr(network, name), gradients[name]
+        places = [np.unravel_index(k, value.shape) for k in rng.permutation(value.size)[:40]]
+        if name == "filters":
+            places = [p for p in places if network.open[p]]
+        if name == "embedding":
+            places = [(int(b), int(e)) for b, e in zip(rng.integers(97, 110, 20), rng.integers(0, language.EMBEDDING, 20))]
+        for p in places:
+            old, step = value[p], 1e-6
+            value[p] = old + step
+            above = loss()
+            value[p] = old - step
+            below = loss()
+            value[p] = old
+            assert abs((above - below) / (2 * step) - known[p]) < 1e-5, (name, p)
+    for name in names:
+        setattr(network, name, getattr(network, name).astype(np.float32))
+    before = loss()
     network.train(windows, labels, epochs=30, rate=0.01)
     after = -network.log_probabilities(windows)[np.arange(16), labels].mean()
     assert after < before / 3

@@ -41,7 +41,7 @@ def test_urls_equal_brute_force(spark, urls):
     labels = [(i, int(not ("ads" in u or "cheap" in u) or i % 7 == 0), int(i % 50 == 0)) for i, u in urls[:400]] + [(5, None, None), (None, 0, 1)]
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumns({"html": F.lit(""), "host": F.lit("h"), "rule": F.lit("r"), "key": F.lit(0), "tokens": F.lit(0)})
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    rows = url_rules.judge(pages, known, URL_RULES, min_support=0.05, min_confidence=0.6).collect()
+    rows = url_rules.judge(pages, known, URL_RULES, min_count=8, min_confidence=0.6, deviations=2.0).collect()
     tokens = {r["url"]: r["t"] for r in pages.select("url", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
     bad = {}
     for i, q, t in labels:
@@ -57,7 +57,11 @@ def test_urls_equal_brute_force(spark, urls):
             for x in itertools.combinations(sorted(own), size):
                 counts[0][x] += 1
                 counts[1][x] += is_bad
-    rules = [set(x) for x, n in counts[1].items() if n >= 0.05 * len(learned) and n / counts[0][x] >= 0.6]
+    base = sum(x for _, x in learned) / len(learned)
+
+    def least(share, n, d=2.0):
+        return (share + d * d / (2 * n) - d * (share * (1 - share) / n + d * d / (4 * n * n)) ** 0.5) / (1 + d * d / n)
+    rules = [set(x) for x, n in counts[1].items() if n >= 8 and n / counts[0][x] >= 0.6 and least(n / counts[0][x], counts[0][x]) > base]
     assert rules
     got = collections.Counter((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in rows)
     want = collections.Counter()
@@ -70,6 +74,21 @@ def test_urls_equal_brute_force(spark, urls):
     assert {v for *_, r, v in got if r is None} == {"allow", "block"}
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_planted_urls_are_found_at_every_size(spark, n):
+    """With the query's own parameters: one host is bad whatever the table's size, chance makes no rule."""
+    rnd = random.Random(n)
+    urls, labels = [], []
+    for i in range(n):
+        planted = i % 100 < 8
+        host = "spam.example.org" if planted else rnd.choice(["a.org", "b.org", "www.c.org"])
+        urls.append((i, f"http://{host}/{rnd.choice(['en', 'de', 'x'])}/{i}.html{'?ref=1' * (rnd.random() < 0.5)}"))
+        labels.append((i, int(rnd.random() > (0.95 if planted else 0.2)), 0))
+    pages, known = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    blocked = {r["page_id"] for r in url_rules.judge(pages, known, URL_RULES).where("verdict = 'block'").collect()}
+    assert blocked == {i for i, u in urls if "spam" in u}
+
+
 def test_urls_without_labels(spark, urls):
     pages = spark.createDataFrame(urls, "page_id long, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -96,11 +115,13 @@ def test_secrets_equal_brute_force(spark, docs_of, awkward):
     rows = awkward + [(100 + i, "".join(rnd.choice(values if rnd.random() < 0.5 else parts) for _ in range(rnd.randint(1, 12)))) for i in range(200)]
     sources = ["a", "a", "a", "b", None]
     docs = docs_of(rows).withColumn("source", F.when(F.col("doc_id") % 5 == 3, "b").when(F.col("doc_id") % 5 == 4, None).otherwise("a"))
-    owners = collections.defaultdict(set)
+    owners, texts = collections.defaultdict(set), collections.defaultdict(set)
     for i, t in rows:
         source = None if i is None else sources[i % 5]
         for x in plain_spans(t):
             owners[x[3]].add(source or f"doc {i}") if i is not None else owners[x[3]].add("a")
+            texts[x[3]].add(t)
+    assert any(len(owners[x]) > 3 and len(texts[x]) > 10 for x in owners)
     names = ["assign", "access", "hex", "live"]
 
     def listed(spans):
@@ -108,7 +129,7 @@ def test_secrets_equal_brute_force(spark, docs_of, awkward):
     want = []
     for i, t in rows:
         base = [x[:3] for x in plain_spans(t)]
-        added = {(a, 3, b) for a, _, b, v in plain_spans(t) if len(owners[v]) == 1}
+        added = {(a, 3, b) for a, _, b, v in plain_spans(t) if len(owners[v]) <= 3 or len(texts[v]) <= 10}
         n = [sum(x[1] == k for x in base) for k in range(3)]
         want.append((str(i), *n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted([*base, *added]))))
     got = [(str(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in secrets.report(secrets.scan(docs)).collect()]
@@ -116,7 +137,7 @@ def test_secrets_equal_brute_force(spark, docs_of, awkward):
     assert any("live" in x[-1] for x in got) and any(x[1] and "live" not in x[-1] for x in got)
     clean = {str(r["doc_id"]): r["text"] for r in secrets.redact(docs).where("doc_id >= 100").collect()}
     for i, t in rows:
-        live = [v for *_, v in plain_spans(t) if len(owners[v]) == 1]
+        live = [v for *_, v in plain_spans(t) if len(owners[v]) <= 3 or len(texts[v]) <= 10]
         if i and i >= 100:
             assert ("[SECRET]" in clean[str(i)]) == bool(live) and not any(v in clean[str(i)] for v in live)
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == len(rows)
@@ -169,7 +190,7 @@ def test_bounds_skip_most_pairs_and_miss_none():
 
 
 def test_examples_have_many_texts_and_owners(spark, docs_of):
-    """The pipeline hides a value that few owners or few different texts have; copies of a text count once."""
+    """A value that few owners or few different texts have is live; copies of a text count once."""
     import corpus_pipeline
 
     value = {x: "AKIA" + x * 16 for x in "ABCD"}
@@ -180,5 +201,7 @@ def test_examples_have_many_texts_and_owners(spark, docs_of):
     docs = docs_of(rows).withColumn("source", (F.col("doc_id") % 4).cast("string"))
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.hide_secrets(spark, docs, "").collect()}
     assert {i for i, t in clean.items() if "[SECRET]" not in t} == set(range(200, 230))
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.scan(docs)).collect()}
+    assert {i for i, x in spans.items() if "live" not in x} == set(range(200, 230))
     counts = {(r["texts"], r["owners"]) for r in secrets.ownership(secrets.found(docs)).collect()}
     assert counts == {(1, 4), (2, 2), (30, 4), (30, 1)}
