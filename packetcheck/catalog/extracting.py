@@ -280,7 +280,7 @@ def document_runs(t: Tables) -> DataFrame:
         select lang || source as project_name, doc_id as ord, doc_id % 6 as score,
                text || array_to_string((['项目编号', '项目全称', '用户姓名', '联系电话', '竣工验收'])[1:doc_id % 6], ' ') as text,
                strlen(text || array_to_string((['项目编号', '项目全称', '用户姓名', '联系电话', '竣工验收'])[1:doc_id % 6], ' ')) as bytes
-        from documents where doc_id % 6 < length(source)
+        from documents
     )
     select project_name, md5(arg_max(text, struct_pack(score, bytes, neg := -ord))) as digest from c group by project_name
 """)
@@ -288,7 +288,7 @@ def best_texts_query(t: Tables) -> DataFrame:
     """Texts with none to five of the anchor labels; more of them win over length."""
     n = (F.col("doc_id") % 6).cast("int")
     labels = F.slice(F.array(*[F.lit(x) for x in vocab.SUMMARY_ANCHORS]), 1, n)
-    candidates = t.documents.filter(n < F.length("source")).select(
+    candidates = t.documents.select(
         F.concat("lang", "source").alias("project_name"), F.col("doc_id").alias("ord"),
         F.concat("text", F.array_join(labels, " ")).alias("text"),
     )
