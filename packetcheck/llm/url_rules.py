@@ -27,7 +27,7 @@ ALLOW, BLOCK = "allow", "block"
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
 #: So many deviations below the confidence it still has to be above the share of bad urls.
-DEVIATIONS = 3.0
+DEVIATIONS = 4.0
 _BAD = "=block"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#)?"
