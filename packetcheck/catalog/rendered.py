@@ -75,7 +75,8 @@ def summary_texts(sides: DataFrame) -> DataFrame:
         "doc_name", F.lit(" 项目类型 工程 "), people,
         F.lit("三、项目总结 任务名称 开始时间 完成时间 参与人 "), dates, F.lit(" 参与者"),
     )
-    return sides.select("project_name", text.alias("text"))
+    path = F.concat(F.lit("/data/"), "project_name", F.lit("/竣工总结报告.docx"))
+    return sides.select("project_name", path.alias("path"), text.alias("text"))
 
 
 def report_pages(sides: DataFrame) -> DataFrame:
@@ -107,8 +108,9 @@ def web_texts(sides: DataFrame) -> DataFrame:
         F.md5(F.col("k").cast("string")), BASE_URL,
     )
     wide = F.regexp_replace(text, "(?m)^(项目..): ", "$1： ")
+    path = F.concat(F.lit("/data/"), "project_name", F.lit("/web.txt"))
     return sides.filter("has_web").select(
-        "project_name", F.when(F.col("k") % 2 == 0, wide).otherwise(text).alias("text")
+        "project_name", path.alias("path"), F.when(F.col("k") % 2 == 0, wide).otherwise(text).alias("text")
     )
 
 

@@ -1,0 +1,70 @@
+"""Labelled values of a text, found in one pass.
+
+One alternation over all labels cuts a text into pieces; a label and the piece behind it are a
+pair, and every field is then looked up among the pairs. A value may run over other labels than those
+that end it: it is put together again from the pieces between.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, functions as F
+
+from packetcheck.functions.text import normalize_text
+
+
+def label_pairs(text: Column, labels: list[str]) -> Column:
+    """Array of (label, rest) in the text's order; ``rest`` is what follows up to the next label.
+
+    Labels must not overlap but where one is the beginning of another; the longer one is
+    then taken.
+    """
+    one = "|".join(re.escape(x) for x in sorted(labels, key=lambda x: (-len(x), x)))
+    found = F.regexp_extract_all(text, F.lit(one), F.lit(0))
+    rest = F.split(text, one, -1)
+    return F.zip_with(found, F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))),
+                      lambda x, y: F.struct(x.alias("label"), y.alias("rest")))
+
+
+def _starts(label: Column, wanted: str) -> Column:
+    """Whether a label is the wanted one or begins with it."""
+    return label.startswith(wanted)
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(normalize_text(c), "^[:：]+", "")
+
+
+def _opened(pair: Column, label: str) -> Column:
+    """What follows the wanted label in a pair whose label begins with it."""
+    return F.concat(F.substr(pair["label"], F.lit(len(label) + 1)), pair["rest"])
+
+
+def values_of(pairs: Column, label: str, stops: list[str]) -> Column:
+    """Every value behind ``label``, up to the nearest of ``stops``: trimmed, without leading
+    colons, empty ones skipped, repeats at their first place.
+
+    The pairs are walked once from the end: ``behind`` is the text from a place up to the next stop.
+    """
+    none = F.struct(F.lit("").alias("behind"), F.array().cast("array<string>").alias("values"))
+
+    def stop(pair: Column) -> Column:
+        hit = _starts(pair["label"], stops[0])
+        for other in stops[1:]:
+            hit = hit | _starts(pair["label"], other)
+        return hit
+
+    def step(acc: Column, pair: Column) -> Column:
+        value = F.concat(_opened(pair, label), acc["behind"])
+        values = F.when(_starts(pair["label"], label), F.concat(F.array(value), acc["values"])).otherwise(acc["values"])
+        behind = F.when(stop(pair), F.lit("")).otherwise(F.concat(pair["label"], pair["rest"], acc["behind"]))
+        return F.struct(behind.alias("behind"), values.alias("values"))
+
+    values = F.aggregate(F.reverse(pairs), none, step)["values"]
+    return F.array_distinct(F.filter(F.transform(values, _stripped), lambda v: v != ""))
+
+
+def first_of(pairs: Column, label: str, stops: list[str]) -> Column:
+    """First value behind ``label`` that isn't empty, or the empty string."""
+    return F.coalesce(F.get(values_of(pairs, label, stops), F.lit(0)), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from packetcheck import vocab
 from packetcheck.functions.values import parse_amount
+from packetcheck.sources.images import file_ratios
 
 PAGE = ["project_name", "page"]
+NO_PICTURE = "no picture"
 
 
 def needs_stamp(amount: Column) -> Column:
@@ -37,7 +40,8 @@ def page_ratios(pixels: DataFrame) -> DataFrame:
 
 
 def image_ratios(images: DataFrame) -> DataFrame:
-    """As ``page_ratios`` for ``project_name, page, image`` rows of the image source.
+    """As ``page_ratios`` for ``project_name, page, image`` rows of the image source; ``error`` says
+    what isn't a picture.
 
     One image is one row, so the count is a map over Arrow batches and no
     shuffle is needed. The image source stores channels as blue, green, red.
@@ -49,6 +53,10 @@ def image_ratios(images: DataFrame) -> DataFrame:
             for height, width, channels, data in zip(
                 batch["height"], batch["width"], batch["channels"], batch["data"]
             ):
+                if height < 0:
+                    counted.append(0)
+                    red.append(0)
+                    continue
                 n = height * width
                 raster = np.frombuffer(data, np.uint8).reshape(n, channels).astype(np.int16)
                 blue, green, rd = (raster[:, min(i, channels - 1)] for i in range(3))
@@ -68,7 +76,8 @@ def image_ratios(images: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in images.schema}
     schema = f"project_name {kinds['project_name']}, page {kinds['page']}, counted bigint, red bigint"
     ratio = F.try_divide("red", "counted") >= vocab.RED_RATIO
-    return flat.mapInPandas(count, schema).withColumn("stamped", F.coalesce(ratio, F.lit(False)))
+    counts = flat.mapInPandas(count, schema).withColumn("stamped", F.coalesce(ratio, F.lit(False)))
+    return counts.withColumn("error", F.when(F.col("counted") == 0, NO_PICTURE))
 
 
 def stamped_projects(ratios: DataFrame) -> DataFrame:
@@ -81,13 +90,22 @@ def amount_of(fields: Column) -> Column:
     return parse_amount(value["kind"], value["s"])
 
 
-def stamps_where_needed(amounts: DataFrame, pixels: DataFrame) -> DataFrame:
+def stamps_where_needed(
+    amounts: DataFrame, pixels: DataFrame | None, pictures: DataFrame | None = None
+) -> DataFrame:
     """``has_red_stamp`` for every project of ``project_name, amount``.
 
-    Pixels of projects below the threshold are dropped before anything else
-    touches them; their stamp is false without looking.
+    Pixels and pictures (``project_name, path`` of image reports) of projects below
+    the threshold are dropped before anything else touches them, so those files are never
+    opened; their stamp is false without looking. So is that of a picture that can't be read.
     """
     wanted = amounts.filter(needs_stamp(F.col("amount"))).select("project_name")
-    found = stamped_projects(page_ratios(pixels.join(wanted, "project_name", "left_semi")))
+    sides = []
+    if pixels is not None:
+        sides.append(page_ratios(pixels.join(wanted, "project_name", "left_semi")))
+    if pictures is not None:
+        sides.append(file_ratios(pictures.join(wanted, "project_name", "left_semi")))
+    pages = reduce(DataFrame.unionByName, [s.select("project_name", "stamped") for s in sides])
+    found = stamped_projects(pages)
     stamp = F.coalesce("has_red_stamp", F.lit(False)).alias("has_red_stamp")
     return amounts.join(found, "project_name", "left").select("project_name", stamp)

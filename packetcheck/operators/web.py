@@ -15,12 +15,12 @@ def line_value(content: Column, label: str) -> Column:
 
 
 def web_records(texts: DataFrame) -> DataFrame:
-    """``project_name, text`` (and ``path``, if there) to one ``web`` struct per text."""
+    """``project_name, text`` (and ``path`` and ``error``, if there) to one ``web`` struct per text."""
     record = F.struct(
         project_code(line_value(F.col("text"), "项目编号")).alias("project_code"),
         line_value(F.col("text"), "项目名称").alias("project_name"),
     )
-    keys = [c for c in texts.columns if c == "path"]
+    keys = [c for c in texts.columns if c in ("path", "error")]
     return texts.select("project_name", *keys, record.alias("web"))
 
 

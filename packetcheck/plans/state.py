@@ -10,8 +10,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetcheck import vocab
+from packetcheck.plans.journal import commit, compact, current, write_part
 from packetcheck.session import stored
+from packetcheck.sources.tables import SCHEMAS
 
+EVENTS = "success_events"
 PENDING, EXPORTED = "pending", "exported"
 MISSING_LEDGER = "missing_workbook"
 
@@ -21,20 +24,21 @@ MISSING_LEDGER = "missing_workbook"
 def save_run(
     results: DataFrame, root: str, run_id: str, created_at: str
 ) -> None:
-    """Write a run's results, then the run itself.
+    """Write a run's results, then the run itself, as parts of the run.
 
     Readers join on the runs table, so a half-written run stays invisible; a
     retry overwrites the run's own folders only.
     """
     spark = results.sparkSession
-    target = f"{root}/compare_results/run_id={run_id}"
-    results.select(
-        "item_order", "project_code", "project_name", "passed", "log_json"
-    ).write.mode("overwrite").parquet(target)
-    total = spark.read.parquet(target).agg(F.count("*").alias("total_count"))
-    total.withColumn("created_at", F.to_timestamp(F.lit(created_at))).write.mode(
-        "overwrite"
-    ).parquet(f"{root}/compare_runs/run_id={run_id}")
+    write_part(
+        results.select("item_order", "project_code", "project_name", "passed", "log_json"),
+        root, "compare_results", run_id,
+    )
+    saved = spark.read.parquet(f"{root}/compare_results/run_id={run_id}")
+    total = saved.agg(F.count("*").alias("total_count"))
+    write_part(
+        total.withColumn("created_at", F.to_timestamp(F.lit(created_at))), root, "compare_runs", run_id
+    )
 
 
 def ordered_results(results: DataFrame) -> DataFrame:
@@ -85,27 +89,59 @@ def success_event(
     ]
 
 
-def add_success_events(verdicts: DataFrame, events_path: str, ts: str) -> None:
-    """Append one event for every passed packet of ``project_code, project_name, passed, row``.
+def add_success_events(verdicts: DataFrame, root: str, run_id: str, ts: str) -> None:
+    """Write one event for every passed packet of ``project_code, project_name, passed, row``,
+    as the run's part of the events.
 
-    Numbers follow the largest one there is and increase with the packet's name.
+    Numbers follow the largest one that is visible and increase with the packet's name.
     """
-    from packetcheck.sources.tables import SCHEMAS
-
     spark = verdicts.sparkSession
     passed = ordered_results(verdicts.filter("passed"))
-    try:
-        events = spark.read.schema(SCHEMAS["success_events"]).parquet(events_path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        events = spark.createDataFrame([], SCHEMAS["success_events"])
-    following = F.coalesce(events.agg(F.max("seq") + 1).scalar(), F.lit(0))
+    latest = success_partials(spark, root, without=[run_id]).agg(F.max("seq")).first()[0]
     rows = passed.select(*success_event(
         F.col("project_code"), F.col("project_name"), F.col("row"),
-        F.col("item_order") + following, F.to_timestamp(F.lit(ts)),
+        F.col("item_order") + F.lit(-1 if latest is None else latest).cast("bigint") + 1, F.to_timestamp(F.lit(ts)),
     ))
-    stored(rows, "events").write.mode("append").parquet(events_path)
+    write_part(rows, root, EVENTS, run_id)
+
+
+# Events in the form of a snapshot: what is known of a code from some of its events.
+
+
+def partial_state(events: DataFrame) -> DataFrame:
+    """One row per event in the snapshot's form."""
+    pending = F.col("state") == PENDING
+    return events.select(
+        "project_code", F.when(pending, F.col("seq")).alias("first_seq"),
+        F.when(pending, F.col("seq")).alias("pending_seq"),
+        F.when(pending, F.struct("project_name", "row_json")).alias("record"),
+        "seq", F.col("state").alias("status"), F.when(~pending, F.col("ts")).alias("exported_at"),
+    )
+
+
+def merged_state(partials: DataFrame) -> DataFrame:
+    """One row per code, in the same form."""
+    return partials.groupBy("project_code").agg(
+        F.min("first_seq").alias("first_seq"), F.max("pending_seq").alias("pending_seq"),
+        F.max_by("record", "pending_seq").alias("record"), F.max("seq").alias("seq"),
+        F.max_by("status", "seq").alias("status"), F.max_by("exported_at", "seq").alias("exported_at"),
+    )
+
+
+def success_partials(spark: SparkSession, root: str, without: list[str] | None = None) -> DataFrame:
+    """Snapshot and later events below ``root``, not yet merged."""
+    return current(spark, root, EVENTS, SCHEMAS[EVENTS], partial_state, without)
+
+
+def success_records(spark: SparkSession, root: str, without: list[str] | None = None) -> DataFrame:
+    """As ``success_state``, of the events below ``root``: from the snapshot and what came after it."""
+    rows = merged_state(success_partials(spark, root, without)).filter(F.col("first_seq").isNotNull())
+    return rows.select("project_code", "record.*", "status", "first_seq", "exported_at")
+
+
+def compact_success(spark: SparkSession, root: str) -> int:
+    """Fold the committed events into the next snapshot; returns its version."""
+    return compact(spark, root, EVENTS, SCHEMAS[EVENTS], partial_state, merged_state)
 
 
 def success_state(events: DataFrame) -> DataFrame:
@@ -175,19 +211,17 @@ def ledger_rows(records: DataFrame, headers: list[str]) -> DataFrame:
 
 
 def export_pending(
-    spark: SparkSession, events_path: str, ledger_path: str, batch: str, ts: str
+    spark: SparkSession, root: str, ledger_path: str, batch: str, ts: str
 ) -> DataFrame:
     """Append pending records to the ledger, then mark them exported.
 
     Rows are written before the marks: a crash between the two repeats the
-    export, and the code test then drops what is already there. The ledger is
+    export of this batch, which overwrites its own rows and marks. The ledger is
     parquet partitioned by batch; where there is none, nothing is written and
     the status is ``missing_workbook``.
     """
-    from packetcheck.sources.tables import read_table
-
-    events = read_table(spark, "success_events", f"{events_path}")
-    pending = pending_records(success_state(events))
+    run_id = f"export-{batch}"
+    pending = pending_records(success_records(spark, root, without=[run_id]))
     try:
         ledger = spark.read.parquet(ledger_path)
     except AnalysisException as e:
@@ -208,12 +242,15 @@ def export_pending(
     ledger_rows(marked.filter("appended"), headers).orderBy("first_seq").select(*headers).write.mode(
         "overwrite"
     ).parquet(f"{ledger_path}/batch={batch}")
-    exported_events(marked, events, ts).write.mode("append").parquet(events_path)
+    partials = success_partials(spark, root, without=[run_id])
+    write_part(exported_events(marked, partials, ts), root, EVENTS, run_id)
+    commit(spark, root, run_id)
     return ledger_counts(marked)
 
 
 def exported_events(pending: DataFrame, events: DataFrame, ts: str) -> DataFrame:
-    """Events that mark appended and duplicate records exported."""
+    """Events that mark appended and duplicate records exported; numbered behind those of
+    ``events``, or of snapshot rows."""
     following = events.agg(F.max("seq") + 1).scalar()
     return pending.select(
         following.alias("seq"), "project_code", "project_name", "row_json",

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -15,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # join by hashing instead of sorting, but only where each partition is small
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # tables laid out by project join on project and path without being dealt out again
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # rule suites compile to long methods; beyond this size the JIT gives up, so
     # let Spark split the expressions into small methods instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -38,6 +43,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     (one process) sets a temporary folder; a cluster has no such folder and must
     name one.
     """
+    if _scratch:
+        return f"{_scratch[-1]}/{purpose}-{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
@@ -47,6 +54,38 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything stored inside lies below one folder, which is removed at the end.
+
+    What is to be read later must have been written elsewhere by then.
+    """
+    base = shared_dir(spark, "scratch")
+    _scratch.append(base)
+    try:
+        yield base
+    finally:
+        _scratch.remove(base)
+        remove_dir(base)
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def remove_dir(path: str) -> None:
+    """Remove a folder, if it is there."""
+    store, own = store_of(path)
+    if store.get_file_info(own).type == fs.FileType.Directory:
+        store.delete_dir(own)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that several branches read, and read it back.
 

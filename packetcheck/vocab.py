@@ -118,6 +118,7 @@ DATE_CONFIDENCE_KEYS = [
     "sign_date_confidence", "date_confidence", "matched_date_confidence",
 ]
 OCR_FAILED = "OCR 服务返回失败"
+AI_UNAVAILABLE = "AI 识别不可用"
 
 # --- report and logs --------------------------------------------------------
 UNRECOGNIZED = "未识别"

@@ -15,7 +15,7 @@ from packetcheck.operators.rules import CandidateRule, FieldRule, packet_rules,
 from packetcheck.operators.verdict import assemble, judge, until_first_fatal
 from packetcheck.operators.summary import summary_records
 from packetcheck.operators.web import web_records
-from packetcheck.plans import logs, report, state
+from packetcheck.plans import journal, logs, report, state
 from packetcheck.plans.packets import PacketTables, compare_reports
 from packetcheck.sources import tables
 from packetcheck.sources.packets import discover_projects, packets
@@ -225,7 +225,7 @@ def test_optional_tables_may_be_absent(spark, tmp_path):
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_table_formats(spark, tmp_path, fmt):
-    df = spark.createDataFrame([("a", "x\ny,\"z\"")], tables.SCHEMAS["web_texts"])
+    df = spark.createDataFrame([("a", "/d/a/a.txt", "x\ny,\"z\"")], tables.SCHEMAS["web_texts"])
     writer = df.write.options(header=True, escape='"') if fmt == "csv" else df.write
     writer.format(fmt).save(str(tmp_path / fmt))
     assert tables.read_table(spark, "web_texts", str(tmp_path / fmt), fmt).collect() == df.collect()
@@ -260,38 +260,45 @@ def test_success_state(spark):
 
 
 def test_ledger_export_is_repeatable(spark, tmp_path):
-    events, ledger = str(tmp_path / "events"), str(tmp_path / "ledger")
+    root, ledger = str(tmp_path / "state"), str(tmp_path / "ledger")
     rows = [(1, "A", "a", '{"项目编码":"A","项目全称":"x","别的":"n"}', "pending", None),
             (2, "B", "b", '{"项目编码":"B"}', "pending", None), (3, "", "c", '{"项目全称":"z"}', "pending", None)]
-    spark.createDataFrame(rows, tables.SCHEMAS["success_events"]).write.parquet(events)
+    journal.write_part(spark.createDataFrame(rows, tables.SCHEMAS["success_events"]), root, state.EVENTS, "r")
+    journal.commit(spark, root, "r")
     spark.createDataFrame([("B", "old")], "`项目编码` string, `项目全称` string").write.parquet(f"{ledger}/batch=0")
-    counts = state.export_pending(spark, events, ledger, "1", "2025-01-01 00:00:00").first()
+    counts = state.export_pending(spark, root, ledger, "1", "2025-01-01 00:00:00").first()
     assert tuple(counts) == ("exported", 3, 2, 1)
+    # the same batch again writes what it wrote
+    assert state.export_pending(spark, root, ledger, "1", "2025-01-01 00:00:00").first() == counts
     got = sorted(((r[0] or ""), r[1] or "") for r in spark.read.parquet(ledger).select("项目编码", "项目全称").collect())
     assert got == [("", "z"), ("A", "x"), ("B", "old")]
-    after = state.success_state(tables.read_table(spark, "success_events", events))
+    after = state.success_records(spark, root)
     assert {r.status for r in after.collect()} == {"exported"}
-    again = state.export_pending(spark, events, ledger, "2", "2025-01-02 00:00:00").first()
+    again = state.export_pending(spark, root, ledger, "2", "2025-01-02 00:00:00").first()
     assert tuple(again) == ("empty", 0, 0, 0)
 
 
 def test_export_without_a_ledger_changes_nothing(spark, tmp_path):
-    events = str(tmp_path / "events")
-    spark.createDataFrame([(1, "A", "a", "{}", "pending", None)], tables.SCHEMAS["success_events"]).write.parquet(events)
-    counts = state.export_pending(spark, events, str(tmp_path / "none"), "1", "2025-01-01 00:00:00").first()
+    root = str(tmp_path / "state")
+    journal.write_part(spark.createDataFrame([(1, "A", "a", "{}", "pending", None)], tables.SCHEMAS["success_events"]), root, state.EVENTS, "r")
+    journal.commit(spark, root, "r")
+    counts = state.export_pending(spark, root, str(tmp_path / "none"), "1", "2025-01-01 00:00:00").first()
     assert tuple(counts) == ("missing_workbook", 1, 0, 0)
-    assert spark.read.parquet(events).count() == 1
+    assert journal.committed(spark, root) == ["r"]
+    assert spark.read.parquet(f"{root}/{state.EVENTS}").count() == 1
 
 
 def test_passes_become_events(spark, tmp_path):
-    events = str(tmp_path / "events")
+    root = str(tmp_path / "state")
     for day, rows in enumerate([[("b", "B", True), ("a", "A", True), ("c", "C", False)], [("c", "C", True)]], 1):
         df = spark.createDataFrame(rows, "project_name string, project_code string, passed boolean")
-        state.add_success_events(df.withColumn("row", F.struct("project_code")), events, f"2025-01-0{day} 00:00:00")
-    got = tables.read_table(spark, "success_events", events).orderBy("seq").collect()
+        for _ in range(2):  # a run that failed before its commit is repeated
+            state.add_success_events(df.withColumn("row", F.struct("project_code")), root, f"r{day}", f"2025-01-0{day} 00:00:00")
+        journal.commit(spark, root, f"r{day}")
+    got = journal.visible(spark, root, state.EVENTS, tables.SCHEMAS["success_events"]).orderBy("seq").collect()
     assert [(r.project_code, r.state, r.row_json) for r in got] == [(x, "pending", f'{{"project_code":"{x}"}}') for x in "ABC"]
     assert len({r.seq for r in got}) == 3
-    assert {r.status for r in state.success_state(tables.read_table(spark, "success_events", events)).collect()} == {"pending"}
+    assert {r.status for r in state.success_records(spark, root).collect()} == {"pending"}
 
 
 def test_split_is_disjoint_and_total(spark):
