@@ -15,13 +15,6 @@ REPORT_TYPE = (
     "struct<project_code:string,signer_name:string,signer_phone:string,sign_date:date,"
     "has_red_stamp:boolean,name_conf:double,phone_conf:double,date_conf:double>"
 )
-# (label, labels that end its value), tried in order
-SIGNER_RULES = [
-    ("签字人姓名", ["签字人姓名", "签字/盖章", "联系电话", "电话", "签字时间", "日期"]),
-    ("签字/盖章", ["签字/盖章", "联系电话", "电话", "签字时间", "日期"]),
-]
-PHONE_LABELS = ["联系电话", "电话"]
-PHONE_STOPS = ["签字人姓名", "签字/盖章", "联系电话", "电话", "签字时间", "日期"]
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
@@ -36,15 +29,15 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 
 def signer_name(text: Column) -> Column:
-    tries = [blank_to_null(value_after_first(text, label, stops)) for label, stops in SIGNER_RULES]
+    tries = [blank_to_null(value_after_first(text, label, stops)) for label, stops in vocab.SIGNER_RULES]
     return F.coalesce(*tries, F.lit(""))
 
 
 def signer_phone(text: Column) -> Column:
     """First mobile number between a phone label and the next label or the end."""
     tries = []
-    for label in PHONE_LABELS:
-        digits = phone_digits(value_after_first(text, label, PHONE_STOPS))
+    for label in vocab.PHONE_LABELS:
+        digits = phone_digits(value_after_first(text, label, vocab.PHONE_STOPS))
         tries.append(blank_to_null(F.regexp_extract(digits, vocab.PHONE, 0)))
     return F.coalesce(*tries, F.lit(""))
 

@@ -63,6 +63,11 @@ LEDGER_CODE = "项目编码"
 SUMMARY_ANCHORS = ["项目编号", "项目全称", "用户姓名", "联系电话", "竣工验收"]
 START_LABELS = ["竣工验收(开始时间)", "竣工验收（开始时间）", "竣工验收开始时间"]
 END_LABELS = ["竣工验收(完成时间)", "竣工验收（完成时间）", "竣工验收完成时间"]
+# labels that end a value
+SUMMARY_CODE_STOPS = ["报告日期", "项目全称"]
+SUMMARY_TITLE_STOPS = ["项目类型", "项目关注", "用户姓名"]
+SUMMARY_NAME_STOPS = ["用户姓名", "用户职务", "联系电话", "电子邮件"]
+SUMMARY_PHONE_STOPS = ["联系电话", "电子邮件", "项目经理", "所属部门", "竣工验收", "用户姓名"]
 
 # Date as it appears in documents: digits may be split by blanks.
 SPLIT_DATE = (
@@ -77,6 +82,15 @@ SIGN_DATE_DAY_FIRST = r"(\d{1,2})\s*日\s*(\d{4})\s*年\s*(\d{1,2})\s*月"
 REPORT_CODE = r"[A-Z]{2,4}-\d{6,8}(?:[-/][A-Z0-9]+)+"
 PHONE = r"1\d{10}"
 
+# --- report text ------------------------------------------------------------
+# (label, labels that end its value), tried in order
+SIGNER_RULES = [
+    ("签字人姓名", ["签字人姓名", "签字/盖章", "联系电话", "电话", "签字时间", "日期"]),
+    ("签字/盖章", ["签字/盖章", "联系电话", "电话", "签字时间", "日期"]),
+]
+PHONE_LABELS = ["联系电话", "电话"]
+PHONE_STOPS = ["签字人姓名", "签字/盖章", "联系电话", "电话", "签字时间", "日期"]
+
 # --- portal pages -----------------------------------------------------------
 ENTITIES = [
     ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"),
