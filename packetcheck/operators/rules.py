@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packetcheck import vocab
@@ -25,6 +26,36 @@ Matcher = Callable[[Column, Column], Column]
 FAILURE_TYPE = "struct<field_name:string,message:string,values:map<string,string>>"
 
 
+class ArrowNormalizer:
+    """A normaliser over pandas series, evaluated in Arrow batches.
+
+    ``fn`` gets texts without nulls. Candidates are normalised as one long series per batch. Spark
+    evaluates a projection's functions together and equal calls once, so a suite whose
+    rules share a normaliser passes its rows to Python once.
+    """
+
+    def __init__(self, fn: Callable[[pd.Series], pd.Series]):
+        def one(values: pd.Series) -> pd.Series:
+            return fn(values)
+
+        def each(lists: pd.Series) -> pd.Series:
+            sizes = [0 if x is None else len(x) for x in lists]
+            flat = [v for x in lists if x is not None for v in x]
+            known = pd.Series([v for v in flat if v is not None], dtype=object)
+            done = iter(fn(known) if len(known) else [])
+            flat = iter([None if v is None else next(done) for v in flat])
+            return pd.Series([None if x is None else [next(flat) for _ in range(n)] for x, n in zip(lists, sizes)], dtype=object)
+
+        self._one = F.pandas_udf(one, "string")
+        self._each = F.pandas_udf(each, "array<string>")
+
+    def __call__(self, c: Column) -> Column:
+        return self._one(F.coalesce(c, F.lit("")))
+
+    def each(self, c: Column) -> Column:
+        return self._each(c)
+
+
 def failure(field_name: str, message: Column | str, values: dict[str, Column]) -> Column:
     pairs = [x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]
     message = F.lit(message) if isinstance(message, str) else message
@@ -82,7 +113,11 @@ class CandidateRule:
 
     def broken(self) -> Column:
         left = self.normalizer(F.coalesce(self.left, F.lit("")))
-        known = F.array_contains(F.transform(self.candidates, self.normalizer), left)
+        if isinstance(self.normalizer, ArrowNormalizer):
+            normalized = self.normalizer.each(self.candidates)
+        else:
+            normalized = F.transform(self.candidates, self.normalizer)
+        known = F.array_contains(normalized, left)
         return (left != "") & ~F.coalesce(known, F.lit(False))
 
     def failure(self) -> Column:

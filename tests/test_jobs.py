@@ -353,3 +353,20 @@ def test_streams(spark, tmp_path):
     want = ({"success": 2, "failed": 1, "system": 1}, [("a", 1), ("bb", 2), ("c", 1)])
     assert run() == want
     assert run() == want
+
+
+def test_arrow_normalisers_run_once(spark):
+    """One pass through Python for all rules, candidates and nulls too; as plain functions give."""
+    from packetcheck.operators.rules import ArrowNormalizer
+
+    rows = [("a 1", "A1", ["x", None, "a1"]), ("b", None, None), (None, "q", []), ("c", "d", ["d"]), ("", "", [""])]
+    df = spark.createDataFrame(rows, "l string, r string, many array<string>")
+    arrow = ArrowNormalizer(lambda s: s.str.replace(" ", "").str.lower())
+
+    def rules(normalizer):
+        return [FieldRule("f", F.col("l"), F.col("r"), normalizer), CandidateRule("g", F.col("l"), F.col("many"), normalizer),
+                FieldRule("h", F.col("l"), F.lit("A 1"), normalizer, applies=F.col("r").isNotNull())]
+    plain = reconcile(df, rules(lambda c: F.lower(F.replace(c, F.lit(" "))))).collect()
+    found = reconcile(df, rules(arrow))
+    assert found.collect() == plain
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
