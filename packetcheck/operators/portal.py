@@ -22,7 +22,10 @@ PAGE_RANGE = 1_000
 
 def reject_reason(body: Column) -> Column:
     """Why a to-do list response is unusable; null if it is fine."""
-    parsed = parse_object(body)
+    return _reject_reason(body, parse_object(body))
+
+
+def _reject_reason(body: Column, parsed: Column) -> Column:
     return (
         F.when(looks_like_login(body), "login_page")
         .when(parsed.isNull(), "not_json")
@@ -46,6 +49,46 @@ def todo_lists(pages: DataFrame) -> DataFrame:
     )
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Every response parsed once: per row of its list ``category, page_no, why, total_count,
+    total_pages, pos, fd_id, subject, detail_path``; a page without rows, or one that is
+    rejected (``why``), has one row without a place.
+    """
+    v, why = F.col("v"), F.col("why")
+    rows = F.when(why.isNull(), F.try_variant_get(v, "$.datas", "array<variant>"))
+    opened = (
+        pages.withColumn("v", parse_object(F.col("body")))
+        .withColumn("why", _reject_reason(F.col("body"), v))
+        .select(
+            "category", "page_no", "why",
+            F.when(why.isNull(), count_field(v, vocab.TOTAL_COUNT_KEYS)).alias("total_count"),
+            F.when(why.isNull(), count_field(v, vocab.TOTAL_PAGE_KEYS)).alias("total_pages"),
+            F.posexplode_outer(rows).alias("pos", "raw"),
+        )
+        .withColumn("pairs", _pairs(F.col("raw")))
+    )
+    return opened.select("category", "page_no", "why", "total_count", "total_pages", "pos", *_item(F.col("pairs")))
+
+
+def _pairs(raw: Column) -> Column:
+    """Columns and values of a list row."""
+    return F.transform(
+        F.try_variant_get(raw, "$", "array<variant>"),
+        lambda c: F.struct(
+            string_at(c, "$.col").alias("col"),
+            F.coalesce(string_at(c, "$.value"), F.lit("")).alias("value"),
+        ),
+    )
+
+
+def _item(pairs: Column) -> list[Column]:
+    return [
+        _row_value(pairs, "fdId").alias("fd_id"),
+        strip_html(_row_value(pairs, "todo.subject4View")).alias("subject"),
+        _row_value(pairs, "tr_href", "_tr_href").alias("detail_path"),
+    ]
+
+
 def _row_value(pairs: Column, *names: str) -> Column:
     """Last value of the first named column present in a list row."""
 
@@ -57,24 +100,12 @@ def _row_value(pairs: Column, *names: str) -> Column:
 
 def todo_rows(lists: DataFrame) -> DataFrame:
     """Items of the to-do lists in page order; rows without a link are skipped."""
-    pairs = F.transform(
-        F.try_variant_get("raw", "$", "array<variant>"),
-        lambda c: F.struct(
-            string_at(c, "$.col").alias("col"),
-            F.coalesce(string_at(c, "$.value"), F.lit("")).alias("value"),
-        ),
-    )
-    item = F.struct(
-        _row_value(F.col("pairs"), "fdId").alias("fd_id"),
-        strip_html(_row_value(F.col("pairs"), "todo.subject4View")).alias("subject"),
-        _row_value(F.col("pairs"), "tr_href", "_tr_href").alias("detail_path"),
-    )
     # a one-element explode, so that the filter below is not pushed into the
     # parsing and every row is read once
     return (
         lists.select("category", "page_no", F.posexplode_outer("rows").alias("pos", "raw"))
-        .withColumn("pairs", pairs)
-        .select("category", "page_no", "pos", F.explode_outer(F.array(item)).alias("i"))
+        .withColumn("pairs", _pairs(F.col("raw")))
+        .select("category", "page_no", "pos", F.explode_outer(F.array(F.struct(*_item(F.col("pairs"))))).alias("i"))
         .select("category", "page_no", "pos", "i.*")
         .filter(F.col("detail_path") != "")
     )
@@ -141,7 +172,7 @@ def page_progress(lists: DataFrame, items: DataFrame) -> DataFrame:
 def paging_ends(pages: DataFrame, progress: DataFrame) -> DataFrame:
     """Per category its last page, and why collecting ends behind it.
 
-    ``end_reason`` is ``complete`` where paging ends by itself. A page that is
+    ``pages``: category, page_no, why (it is rejected). ``end_reason`` is ``complete`` where paging ends by itself. A page that is
     rejected or absent ends its category too: then it is the page's reject reason,
     or ``missing_page``; ``open`` means that no further page is known.
     """
@@ -154,9 +185,9 @@ def paging_ends(pages: DataFrame, progress: DataFrame) -> DataFrame:
         "category", "known", F.col("done").isNotNull().alias("is_done"),
         F.coalesce("done", "last", F.lit(0)).alias("stop_page"),
     )
-    rejected = pages.select(
-        "category", F.col("page_no").alias("bad_page"), reject_reason(F.col("body")).alias("why")
-    ).filter(F.col("why").isNotNull()).groupBy("category", "bad_page").agg(F.min("why").alias("why"))
+    rejected = pages.filter(F.col("why").isNotNull()).groupBy(
+        "category", F.col("page_no").alias("bad_page")
+    ).agg(F.min("why").alias("why"))
     at = (ends["category"] == rejected["category"]) & (ends["stop_page"] + 1 == rejected["bad_page"])
     reason = (
         F.when(F.col("is_done"), "complete").when(F.col("why").isNotNull(), F.col("why"))
@@ -170,11 +201,14 @@ def paging_ends(pages: DataFrame, progress: DataFrame) -> DataFrame:
 def collected(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """De-duplicated items up to the page where each category ends, and the ends.
 
-    The items are stored: where paging ends depends on all of them.
+    Pages are parsed once and stored, and so are the items: where paging ends
+    depends on all of them.
     """
-    lists = todo_lists(pages)
-    items = stored(first_items(todo_rows(lists)), "todo-items")
-    ends = paging_ends(pages, page_progress(lists, items))
+    read = stored(read_pages(pages), "todo-pages")
+    lists = read.filter("why is null")
+    rows = lists.filter("detail_path <> ''").select("category", "page_no", "pos", "fd_id", "subject", "detail_path")
+    items = stored(first_items(rows), "todo-items")
+    ends = paging_ends(read, page_progress(lists, items))
     kept = items.join(ends.select("category", "stop_page"), "category")
     return kept.filter(F.col("page_no") <= F.col("stop_page")).drop("stop_page"), ends
 

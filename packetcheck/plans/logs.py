@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetcheck import vocab
 from packetcheck.functions.payload import json_kind, node, parse_object, string_at
+from packetcheck.plans.journal import commit, compact, current, write_part
 from packetcheck.plans.report import COLUMNS, CONFLICTS
 
 # --- lines ------------------------------------------------------------------
@@ -136,6 +137,36 @@ def clear_lines(spark: SparkSession, path: str, epoch: int) -> None:
     marker.write.mode("append").partitionBy("epoch").parquet(path)
 
 
+LINES = "epoch int, id bigint, bucket string, message string, created_at timestamp"
+
+
+def write_lines(lines: DataFrame, root: str, run_id: str, epoch: int) -> None:
+    """Add ``id, bucket, message, created_at`` of one writer to the log journal; the same id
+    again replaces its lines."""
+    rows = lines.select(F.lit(epoch).alias("epoch"), "id", "bucket", "message", "created_at")
+    write_part(rows, root, "runtime_logs", run_id)
+    commit(lines.sparkSession, root, run_id)
+
+
+def _columns(lines: DataFrame) -> DataFrame:
+    return lines.select("epoch", "id", "bucket", "message", "created_at")
+
+
+def _of_latest_epoch(lines: DataFrame) -> DataFrame:
+    """Lines of the latest epoch, its start marker too."""
+    return lines.filter(F.col("epoch") == lines.agg(F.max("epoch")).scalar())
+
+
+def journal_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Current lines of the log journal, from the snapshot and what came after it."""
+    return current_lines(current(spark, root, "runtime_logs", LINES, _columns))
+
+
+def compact_lines(spark: SparkSession, root: str) -> int:
+    """Fold the log journal into its next snapshot, which holds the latest epoch only."""
+    return compact(spark, root, "runtime_logs", LINES, _columns, _of_latest_epoch)
+
+
 def current_lines(stored: DataFrame) -> DataFrame:
     """Lines of the latest epoch."""
     latest = stored.agg(F.max("epoch")).scalar()

@@ -300,6 +300,34 @@ def cache_state(entries: DataFrame) -> DataFrame:
     return entries.groupBy("file_path").agg(latest.alias("e")).select("file_path", "e.*")
 
 
+CACHE = "recognition_cache"
+
+
+def save_recognition(entries: DataFrame, root: str, run_id: str) -> None:
+    """Add ``file_path, fingerprint, data_json, seq`` to the cache journal."""
+    write_part(entries.select("file_path", "fingerprint", "data_json", "seq"), root, CACHE, run_id)
+    commit(entries.sparkSession, root, run_id)
+
+
+def _cache_columns(entries: DataFrame) -> DataFrame:
+    return entries.select("file_path", "fingerprint", "data_json", "seq")
+
+
+def _latest_entries(entries: DataFrame) -> DataFrame:
+    latest = F.max_by(F.struct("fingerprint", "data_json", "seq"), "seq")
+    return entries.groupBy("file_path").agg(latest.alias("e")).select("file_path", "e.*")
+
+
+def saved_recognition(spark: SparkSession, root: str) -> DataFrame:
+    """Latest entry per file of the cache journal."""
+    return cache_state(current(spark, root, CACHE, SCHEMAS[CACHE], _cache_columns))
+
+
+def compact_recognition(spark: SparkSession, root: str) -> int:
+    """Fold the cache journal into its next snapshot: the latest entry of each file."""
+    return compact(spark, root, CACHE, SCHEMAS[CACHE], _cache_columns, _latest_entries)
+
+
 def marked_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Add ``hit``, whether a file's recognition can be reused, and its ``data_json``."""
     key = ["file_path", "fingerprint"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetcheck.operators.stamps import stamps_where_needed
 from packetcheck.operators.verdict import assemble, judge
-from packetcheck.plans import journal, run, state
+from packetcheck.plans import journal, logs, run, state
 from packetcheck.plans.layout import Records, of_projects, open_table, write_table
 from packetcheck.plans.packets import PacketTables, compare
 from packetcheck.session import scratch, shared_dir, stored
@@ -344,3 +344,27 @@ def test_unchanged_documents_are_not_read_again(spark, folders, tmp_path):
     assert counts == {} and verdicts == {"QHE-1-A": (False, "缺少竣工验收报告文件")}
     counts, verdicts = step(later.where("role = 'report'").withColumn("mtime", F.col("mtime") + F.expr("interval 1 hour")))
     assert counts == {"report": 1} and verdicts["QHE-1-A"][1] == "比对失败，2 个问题"
+
+
+def test_logs_and_cache_are_compacted(spark, tmp_path):
+    root, kind = str(tmp_path), "id bigint, bucket string, message string, created_at timestamp"
+
+    def lines(*ids):
+        return spark.createDataFrame([(i, "default", f"m{i}" if i else None, None) for i in ids], kind)
+
+    def shown():
+        return sorted(r.message for r in logs.journal_lines(spark, root).collect())
+    logs.write_lines(lines(1, 2), root, "a", 0)
+    logs.write_lines(lines(1, 2), root, "a", 0)
+    assert shown() == ["m1", "m2"] and logs.compact_lines(spark, root) == 1 and shown() == ["m1", "m2"]
+    logs.write_lines(lines(0), root, "clear", 1)
+    assert shown() == []
+    logs.write_lines(lines(3), root, "b", 1)
+    assert shown() == ["m3"] and logs.compact_lines(spark, root) == 2 and shown() == ["m3"]
+    assert spark.read.parquet(f"{root}/runtime_logs_snapshots/version=2").where("epoch = 0").count() == 0
+    entries = [("p", f"f{k % 3}", f"d{k}", k) for k in range(6)] + [("q", "f", "d", 9)]
+    for k in range(3):
+        state.save_recognition(spark.createDataFrame([e for e in entries if e[3] % 3 == k], tables.SCHEMAS["recognition_cache"]), root, f"c{k}")
+        if k == 1:
+            state.compact_recognition(spark, root)
+    assert sorted(tuple(r) for r in state.saved_recognition(spark, root).collect()) == [("p", "f2", "d5"), ("q", "f", "d")]
