@@ -6,6 +6,7 @@ from checking import check_connection, compare_query
 import __spark_entry__ as entry
 import corpus_pipeline
 from packetcheck.llm.queries import CHECKS, QUERIES
+from packetcheck.session import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +36,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF), "test")
+        docs = stored(stage(spark, docs, SF), "test")
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert docs.columns == columns
             counts.append(docs.count())
