@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetcheck.llm import decontamination, packing, quality, secrets, simhash
 from packetcheck.llm.common import table
-from packetcheck.session import stored
+from packetcheck.session import remove_dir, scratch, shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_dir(spark, name.replace(" ", "-"))
+        # what a stage stores on the way, and what the stage before left, end with it
+        with scratch(spark):
+            left = stage(spark, docs, sf_dir)
+            left.write.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        docs, before = spark.read.schema(left.schema).parquet(path), path
     return docs
