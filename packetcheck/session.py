@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,21 +43,23 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Fresh folder all executors can reach.
 
     It lies under ``spark.checkpoint.dir``. Where that is unset, a local session
-    (one process) sets a temporary folder; a cluster has no such folder and must
-    name one.
+    (one process) sets a temporary folder, which ends with the process; a cluster
+    has no such folder and must name one.
     """
-    if _scratch:
-        return f"{_scratch[-1]}/{purpose}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "folders", None):
+        return f"{_scratch.folders[-1]}/{purpose}-{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="packetcheck-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-_scratch: list[str] = []
+#: Folders of the running ``scratch`` blocks of a thread.
+_scratch = threading.local()
 
 
 @contextmanager
@@ -64,12 +69,13 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     What is to be read later must have been written elsewhere by then.
     """
     base = shared_dir(spark, "scratch")
-    _scratch.append(base)
+    outer = getattr(_scratch, "folders", [])
+    _scratch.folders = [*outer, base]
     try:
         yield base
     finally:
-        _scratch.remove(base)
-        remove_dir(base)
+        _scratch.folders = outer
+        remove_dir(spark, base)
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
@@ -79,11 +85,10 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def remove_dir(path: str) -> None:
-    """Remove a folder, if it is there."""
-    store, own = store_of(path)
-    if store.get_file_info(own).type == fs.FileType.Directory:
-        store.delete_dir(own)
+def remove_dir(spark: SparkSession, path: str) -> bool:
+    """Remove a folder in whatever store Spark reaches; whether it was there."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
