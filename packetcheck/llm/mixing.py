@@ -164,8 +164,14 @@ def pieces(mixed: DataFrame, block: int = BLOCK) -> DataFrame:
         "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("copy"), F.lit(0).cast("long").alias("first"), F.col("kept.text").alias("text"))
     end = F.col("start") + F.col("size")
     numbers = F.sequence(_div(F.col("start"), F.lit(block).cast("long")), _div(end - 1, F.lit(block).cast("long")))
-    parts = mixed.where("picked > 0 and size > 0").select("doc_id", F.col("passes").alias("copy"), "start", end.alias("end"), F.regexp_extract_all("kept.text", F.lit(WORD), F.lit(0)).alias("words"),
-                                                          F.explode(F.filter(numbers, lambda x: _picked(x + 1) > _picked(x))).alias("b"))
-    low, high = F.greatest(F.col("start"), block * F.col("b")) - F.col("start"), F.least(F.col("end"), block * (F.col("b") + 1)) - F.col("start")
-    parts = parts.select("doc_id", "copy", low.alias("first"), F.array_join(F.slice("words", (low + 1).cast("int"), (high - low).cast("int")), " ").alias("text"))
+    worded = mixed.where("picked > 0 and size > 0").withColumn("words", F.regexp_extract_all("kept.text", F.lit(WORD), F.lit(0)))
+
+    def piece(x: Column) -> Column:
+        low = F.greatest(F.col("start"), block * x) - F.col("start")
+        high = F.least(end, block * (x + 1)) - F.col("start")
+        return F.struct(low.alias("first"), F.array_join(F.slice("words", (low + 1).cast("int"), (high - low).cast("int")), " ").alias("text"))
+
+    # the pieces are cut before they become rows, so that no row carries all words
+    cut = F.transform(F.filter(numbers, lambda x: _picked(x + 1) > _picked(x)), piece)
+    parts = worded.select("doc_id", F.col("passes").alias("copy"), F.explode(cut).alias("p")).select("doc_id", "copy", "p.*")
     return whole.unionByName(parts)
