@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -97,6 +98,40 @@ def test_discriminant_equals_the_formula():
     assert np.allclose(model.score(rows), 1 / (1 + np.exp(density[0] - density[1])))
 
 
+def plain_statistics(text):
+    """The statistics of one text, one after the other."""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    marks = ".,;:'\"-()?"
+    lower = sum(97 <= b <= 122 for b in raw)
+    capitals = sum(65 <= b <= 90 for b in raw)
+    wide = sum(b >= 128 for b in raw)
+    digits, blank = sum(48 <= b <= 57 for b in raw), sum(b in (9, 10, 11, 12, 13, 32) for b in raw)
+    usual = sum(b < 128 and chr(b) in marks for b in raw)
+    odd = len(raw) - lower - capitals - wide - digits - blank - usual
+    letters, n = lower + capitals + wide, len(words)
+
+    def odds(part, whole):
+        return math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    total = max(len(raw), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n if n else 0
+    spread = math.sqrt(sum((x - mean) ** 2 for x in lengths) / n) if n else 0
+    return [
+        math.log1p(len(raw)), math.log1p(n), math.log((letters + 1) / (n + 1)), odds(capitals, letters), odds(digits, total), odds(blank, total),
+        odds(usual, total), odds(odd, total), odds(wide, total), len(set(words)) / n if n else 1, len(set(lines)) / len(lines) if n else 1,
+        math.log((max(words.count(w) for w in set(words)) / n if n else 0) + 1e-3), math.log1p(n / len(lines) if n else 0), math.log1p(spread)]
+
+
+def test_statistics_equal_plain():
+    rnd = random.Random(12)
+    parts = ["a", "B", "é", "日本", " ", "\n", "\t", ".", "!", "7", "word ", "word ", "\x00", "\U0001f600"]
+    texts = ["", " ", "\n\n", "one"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 80))) for _ in range(300)]
+    got = quality.statistics(texts)
+    assert got.shape == (len(texts), len(quality.NAMES))
+    for row, text in zip(got, texts):
+        assert np.allclose(row, plain_statistics(text)), text
+
+
 def test_quality_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.classify(docs_of(["a", None]), none).collect()} == {0.5}

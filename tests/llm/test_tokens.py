@@ -1,9 +1,11 @@
+import glob
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -91,6 +93,33 @@ def test_token_files_round_trip(spark, docs_of, awkward):
     assert "ids" not in stored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_files_are_laid_out_as_said(spark, tmp_path):
+    """Encodings, row groups and page indexes as the files' footers say, and pages that a filter skips."""
+    path = str(tmp_path / "tokens")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of document"), F.col("id"), F.repeat(F.lit("more "), (F.col("id") % 50).cast("int"))).alias("text"))
+    token_files.write(docs, path, BYTE, shards=2)
+    files = sorted(glob.glob(f"{path}/*.parquet"))
+    assert len(files) == 2
+    for file in files:
+        footer = pq.ParquetFile(file).metadata
+        for g in range(footer.num_row_groups):
+            group = footer.row_group(g)
+            assert group.total_byte_size <= 40 << 20
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            for name in ("doc_id", "start", "n_tokens"):
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings and not columns[name].has_dictionary_page, name
+                assert columns[name].has_column_index and columns[name].has_offset_index
+                assert columns[name].statistics.has_min_max
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert ids.has_dictionary_page and "RLE_DICTIONARY" in ids.encodings and ids.compression == "ZSTD"
+    one = token_files.read(spark, path, "doc_id", "n_tokens").where("doc_id = 7777")
+    assert one.count() == 1 and len(one.collect()) == 1
+    plan = one._jdf.queryExecution().executedPlan()
+    one._jdf.queryExecution().toRdd().count()
+    leaf = plan.collectLeaves().head()
+    assert 1 <= leaf.metrics().apply("numOutputRows").value() <= 2_000
+
+
 def test_empty_tables(spark, docs_of):
     none = docs_of([]).limit(0)
     assert packing.pack(none, WORD).count() == 0
