@@ -7,8 +7,9 @@ a smaller doc_id, or earlier in the same document).
    hash, the leftmost if tied. Equal windows have equal anchors at the same
    place in them, so windows need only be compared where their anchors are equal.
    The windows of one anchor follow each other; together they are its stretch.
-2. Anchors meet by hash. Of equal stretches all but the first are repeats. Only
-   where different stretches share an anchor their bytes are looked at.
+2. Anchors meet by hash. The bytes of all stretches that share an anchor are compared. Only
+   of very common ones (more than ``LOCAL`` equal stretches in a batch of texts, more than ``UNITED``
+   stretches of an anchor) equal ones are united before, by two 64-bit hashes: all but the first are repeats.
 3. There, the occurrences are sorted by what follows, which gives the common
    prefix lengths of neighbours, and the interval of each anchor is extended
    backward, breadth-first, by the byte before it (the Burrows-Wheeler column of
@@ -41,8 +42,11 @@ WINDOW = 100
 ANCHOR = 16
 #: Places for an anchor in a window.
 PLACES = WINDOW - ANCHOR + 1
-#: Occurrences of one anchor that are compared in one task; more are dealt out by window.
+#: Different stretches of one anchor that are compared in one task; more are dealt out by window.
 GROUP = 50_000
+#: Stretches of an anchor, and equal ones in a batch of texts, that are compared as they are; of
+#: more, equal ones are united first.
+UNITED, LOCAL = 512, 16
 
 FIRST_ID = -(1 << 63)
 ROW = "doc long, tag int, start int, n int, off int"
@@ -124,10 +128,10 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return hashes[anchor].view(np.int64), whole.view(np.int64), text, first - at[text], count, anchor - first
 
 
-def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of all texts. Within a batch only the first of equal stretches goes
-    on to meet others; the rest are ``known`` repeats and are dealt out by document,
-    so that a common passage doesn't fill the task of its anchors."""
+def _anchors(batches: Iterable[pa.RecordBatch], local: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of all texts. Of more than ``local`` equal stretches in a batch only the
+    first goes on to meet others; the rest are ``known`` repeats and are dealt out by document,
+    so that a very common passage doesn't fill the task of its anchors."""
     for batch in slices(batches, "text", 1 << 20):
         anchor, whole, text, start, n, off = stretches(batch.column("text").cast(pa.binary()).to_pylist())
         doc, tag = (np.asarray(batch.column(x)).astype(np.int64)[text] for x in ("doc", "tag"))
@@ -139,7 +143,9 @@ def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = several[np.lexsort([x[several] for x in (start, tag, doc, whole, anchor)])]
         equal = [np.r_[False, x[order[1:]] == x[order[:-1]]] for x in rows[:5]] if len(order) else [np.zeros(0, dtype=bool)] * 5
         known = np.zeros(len(anchor), dtype=bool)
-        known[order] = equal[0] & equal[1]
+        alike = equal[0] & equal[1]
+        run = np.cumsum(~alike)
+        known[order] = alike & (np.bincount(run, minlength=1)[run] > local)
         stay = np.ones(len(anchor), dtype=bool)
         stay[order] = ~np.logical_and.reduce(equal)
         rows, known = [x[stay] for x in rows], known[stay]
@@ -149,51 +155,87 @@ def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["deal", "anchor", "whole", "doc", "tag", "start", "n", "off", "known"])
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, whole, doc, tag, start) -> repeats of a whole stretch
-    (``open`` false), and the first rows of different stretches of one anchor."""
-    names = ["anchor", "whole", "doc", "tag", "start", "n", "off"]
-    held: list | None = None  # first row of the last stretch, and whether its anchor had another before
-    joined = False
-    last: tuple | None = None
+class _Meeting:
+    """Rows sorted by (anchor, whole, doc, tag, start), an anchor's rows together.
 
-    def out(rows: list[np.ndarray], which: np.ndarray, is_open: bool) -> pa.RecordBatch:
-        kinds = {"tag": np.int32, "start": np.int32, "n": np.int32, "off": np.int32}
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows[k][which].astype(kinds.get(names[k], np.int64))) for k in (0, 2, 3, 4, 5, 6)] + [pa.array(np.full(int(which.sum()), is_open))],
-            ["anchor", "doc", "tag", "start", "n", "off", "open"])
+    Of an anchor with several rows each is ``open``: its bytes are to be compared. An anchor with more than
+    ``united`` is hot, and its equal stretches are united before: the first of them is open, the
+    rest are repeats of a whole stretch.
+    """
 
+    def __init__(self, united: int):
+        self.united = united
+        self.held = [np.zeros(0, dtype=np.int64)] * 7  # rows of the last anchor, while they are few
+        self.hot: list[int] | None = None  # the last row of a hot anchor that may go on
+
+    def feed(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if self.hot is not None:
+            n = int((rows[0] == self.hot[0]).sum())
+            if n:
+                yield from self._unite([x[:n] for x in rows])
+            rows = [x[n:] for x in rows]
+            if not len(rows[0]):
+                return
+            self.hot = None
+        rows = [np.r_[x, y] for x, y in zip(self.held, rows)]
+        others = np.flatnonzero(rows[0] != rows[0][-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        yield from self._whole([x[:cut] for x in rows])
+        self.held = [x[cut:] for x in rows]
+        if len(self.held[0]) > self.united:
+            yield from self._unite(self.held)
+            self.held = [x[:0] for x in self.held]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._whole(self.held)
+
+    def _whole(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Anchors whose rows are all there."""
+        if not len(rows[0]):
+            return
+        twin = np.r_[False, np.logical_and.reduce([x[1:] == x[:-1] for x in rows[:5]])]
+        number = np.cumsum(np.r_[False, rows[0][1:] != rows[0][:-1]])
+        size = np.bincount(number, weights=~twin)[number]
+        yield _met(rows, ~twin & (size > 1) & (size <= self.united), True)
+        for k in np.unique(number[size > self.united]):
+            self.hot = None
+            yield from self._unite([x[number == k] for x in rows])
+        self.hot = None
+
+    def _unite(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Rows of a hot anchor, which go on from ``hot``."""
+        last = self.hot
+        before = [np.r_[last[k] if last else 0, x[:-1]] for k, x in enumerate(rows)]
+        new = before[1] != rows[1]
+        twin = np.logical_and.reduce([before[k] == rows[k] for k in range(5)])
+        if last is None:
+            new[0], twin[0] = True, False
+        yield _met(rows, new, True)
+        yield _met(rows, ~new & ~twin, False)
+        self.hot = [int(x[-1]) for x in rows]
+
+
+def _met(rows: list[np.ndarray], which: np.ndarray, is_open: bool) -> pa.RecordBatch:
+    """The chosen ones of rows of anchor, whole, doc, tag, start, n, off."""
+    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[k][which].astype(kinds[k])) for k in (0, 2, 3, 4, 5, 6)] + [pa.array(np.full(int(which.sum()), is_open))],
+        ["anchor", "doc", "tag", "start", "n", "off", "open"])
+
+
+def _meet(batches: Iterable[pa.RecordBatch], united: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (anchor, whole, doc, tag, start) -> those whose bytes are to be
+    compared (``open``), and repeats of a whole stretch."""
+    meeting = _Meeting(united)
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [np.asarray(batch.column(x)).astype(np.int64) for x in names]
+        rows = [np.asarray(batch.column(x)).astype(np.int64) for x in ("anchor", "whole", "doc", "tag", "start", "n", "off")]
         known = np.asarray(batch.column("known"))
-        yield out(rows, known, False)
-        rows = [x[~known] for x in rows]
-        if not len(rows[0]):
-            continue
-        before = [np.r_[last[k] if last else 0, x[:-1]] for k, x in enumerate(rows)]
-        twin = np.logical_and.reduce([before[k] == rows[k] for k in (0, 1, 2, 3, 4)])
-        if last is None:
-            twin[0] = False
-        last = tuple(int(x[-1]) for x in rows)
-        if held is not None:
-            rows = [np.r_[held[k], x] for k, x in enumerate(rows)]
-            twin = np.r_[False, twin]
-        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
-        yield out(rows, ~new & ~twin, False)
-        heads = np.flatnonzero(new)
-        anchor = rows[0][heads]
-        again = np.r_[joined if held is not None else False, anchor[1:] == anchor[:-1]]
-        shared = again | np.r_[anchor[1:] == anchor[:-1], False]
-        shared[-1] = False
-        chosen = np.zeros(len(new), dtype=bool)
-        chosen[heads[shared]] = True
-        yield out(rows, chosen, True)
-        held = [int(x[heads[-1]]) for x in rows]
-        joined = bool(again[-1])
-    if held is not None and joined:
-        yield out([np.array([x]) for x in held], np.array([True]), True)
+        yield _met(rows, known, False)
+        if not known.all():
+            yield from meeting.feed([x[~known] for x in rows])
+    yield from meeting.end()
 
 
 def _regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +349,12 @@ def _by_window(regions: DataFrame) -> DataFrame:
     return each.join(first, key).where(later).select("doc", "tag", "start", F.lit(1).alias("n"))
 
 
-def marks(docs: DataFrame, group_size: int = GROUP) -> DataFrame:
+def marks(docs: DataFrame, group_size: int = GROUP, united: int = UNITED, local: int = LOCAL) -> DataFrame:
     """Runs of repeated windows: doc, tag, start of the first one, n windows."""
     texts = _keyed(docs).where(F.octet_length("text") >= WINDOW)
-    anchors = texts.mapInArrow(_anchors, f"deal long, anchor long, whole long, {ROW}, known boolean")
+    anchors = texts.mapInArrow(lambda batches: _anchors(batches, local), f"deal long, anchor long, whole long, {ROW}, known boolean")
     dealt = anchors.repartition("deal").drop("deal").sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
-    met = stored(dealt.mapInArrow(_meet, f"anchor long, {ROW}, open boolean"), "met")
+    met = stored(dealt.mapInArrow(lambda batches: _meet(batches, united), f"anchor long, {ROW}, open boolean"), "met")
     opened = met.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "off")).alias("open"))
     regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
     common = stored(regions.groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
@@ -363,6 +405,6 @@ def cut(docs: DataFrame, found: DataFrame, with_text: bool = False) -> DataFrame
     return joined.mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, group_size: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, group_size: int = GROUP, united: int = UNITED, local: int = LOCAL) -> DataFrame:
     """The documents without their repeated passages; see the module."""
-    return cut(docs, marks(docs, group_size), with_text)
+    return cut(docs, marks(docs, group_size, united, local), with_text)

@@ -1,7 +1,9 @@
+import collections
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -138,8 +140,9 @@ def repeat_texts():
 def test_repeats_equal_brute_force(spark, docs_of):
     docs = repeat_texts()
     want = plain_repeats(docs)
-    for group_size in (50_000, 3):
-        rows = repeats.remove_repeats(docs_of(docs), group_size=group_size).collect()
+    # all compared; some united first; nearly all united, and windows dealt out
+    for group_size, united, local in ((50_000, 50_000, 64), (50_000, 12, 1), (3, 3, 64), (3, 1, 1)):
+        rows = repeats.remove_repeats(docs_of(docs), group_size=group_size, united=united, local=local).collect()
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == want
 
 
@@ -217,3 +220,37 @@ def test_one_row_of_each_class_stays(spark, docs_of):
     assert kept.columns == docs.columns
     got = sorted((str(r["doc_id"]), " ".join((r["text"] or "null").split())) for r in kept.collect())
     assert got == sorted([("1", texts[0]), ("3", "a b c d e f"), ("None", "some text"), ("None", "null")])
+
+
+def test_stretches_meet_alike_however_they_are_dealt(spark):
+    """Rows in batches of any size: few rows of an anchor are all open, of many the first of each stretch."""
+    rnd = random.Random(4)
+    places = {(a, rnd.randrange(6), rnd.randrange(5)) for a in range(40) for _ in range(rnd.choice([1, 2, 3, 30]))}
+    rows = [(a, (7 * doc + 5 * start + a) % 4, doc, 0, start) for a, doc, start in places]
+    rows += rnd.sample(rows, 30)
+    rows.sort()
+    names = ["anchor", "whole", "doc", "tag", "start"]
+    sizes = collections.Counter(a for a, *_ in set(rows))
+    for group_size in (1, 5, 20, 1000):
+        want_open, want_closed = set(), set()
+        for r in set(rows):
+            same = min(x for x in rows if x[:2] == r[:2])
+            if sizes[r[0]] > group_size:
+                (want_open if r == same else want_closed).add((r[0], *r[2:]))
+            elif sizes[r[0]] > 1:
+                want_open.add((r[0], *r[2:]))
+        for step in (1, 3, 17, 10_000):
+            batches = []
+            for k in range(0, len(rows), step):
+                part = rows[k:k + step]
+                columns = {x: [r[j] for r in part] for j, x in enumerate(names)} | {"n": [1] * len(part), "off": [0] * len(part), "known": [False] * len(part)}
+                batches.append(pa.RecordBatch.from_pydict(columns))
+            found = [tuple(x.values()) for b in repeats._meet(batches, group_size) for x in b.to_pylist()]
+            is_open = [x[:4] for x in found if x[-1]]
+            closed = [x[:4] for x in found if not x[-1]]
+            if step == 10_000:
+                assert sorted(is_open) == sorted(want_open) and sorted(closed) == sorted(want_closed), group_size
+            # where an anchor turns out to be hot only counts repeated rows too, or an anchor has one row
+            assert set(is_open) | set(closed) >= want_open | want_closed and not set(is_open) & set(closed)
+            assert set(closed) <= {(r[0], *r[2:]) for r in rows if min(x for x in rows if x[:2] == r[:2]) < r}
+            assert all(sizes[x[0]] == 1 for x in set(is_open) - want_open) and len(found) == len(set(found))
