@@ -356,11 +356,13 @@ def marks(docs: DataFrame, group_size: int = GROUP, united: int = UNITED, local:
     dealt = anchors.repartition("deal").drop("deal").sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
     met = stored(dealt.mapInArrow(lambda batches: _meet(batches, united), f"anchor long, {ROW}, open boolean"), "met")
     opened = met.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "off")).alias("open"))
-    regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
-    common = stored(regions.groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
+    regions = _packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary")
+    common = stored(met.where("open").groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
     found = met.where("not open").select("doc", "tag", "start", "n")
     rare = regions
     if not common.isEmpty():
+        # only then are the bytes read twice
+        regions = stored(regions, "regions")
         found = found.unionByName(_by_window(regions.join(common, "anchor", "left_semi")))
         rare = regions.join(common, "anchor", "left_anti")
     compared = rare.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc long, tag int, start int, n int")
