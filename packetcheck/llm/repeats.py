@@ -149,10 +149,9 @@ def _anchors(batches: Iterable[pa.RecordBatch], local: int) -> Iterator[pa.Recor
         stay = np.ones(len(anchor), dtype=bool)
         stay[order] = ~np.logical_and.reduce(equal)
         rows, known = [x[stay] for x in rows], known[stay]
-        deal = np.where(known, (rows[2].astype(np.uint64) * _A).view(np.int64), rows[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(deal), *(pa.array(x) for x in rows[:3]), *(pa.array(x.astype(np.int32)) for x in rows[3:]), pa.array(known)],
-            ["deal", "anchor", "whole", "doc", "tag", "start", "n", "off", "known"])
+            [*(pa.array(x) for x in rows[:3]), *(pa.array(x.astype(np.int32)) for x in rows[3:]), pa.array(known)],
+            ["anchor", "whole", "doc", "tag", "start", "n", "off", "known"])
 
 
 class _Meeting:
@@ -352,17 +351,17 @@ def _by_window(regions: DataFrame) -> DataFrame:
 def marks(docs: DataFrame, group_size: int = GROUP, united: int = UNITED, local: int = LOCAL) -> DataFrame:
     """Runs of repeated windows: doc, tag, start of the first one, n windows."""
     texts = _keyed(docs).where(F.octet_length("text") >= WINDOW)
-    anchors = texts.mapInArrow(lambda batches: _anchors(batches, local), f"deal long, anchor long, whole long, {ROW}, known boolean")
-    dealt = anchors.repartition("deal").drop("deal").sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
+    anchors = texts.mapInArrow(lambda batches: _anchors(batches, local), f"anchor long, whole long, {ROW}, known boolean")
+    # repeats that are known already meet no others and go by document
+    place = F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("anchor"))
+    dealt = anchors.repartition(place).sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
     met = stored(dealt.mapInArrow(lambda batches: _meet(batches, united), f"anchor long, {ROW}, open boolean"), "met")
     opened = met.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "off")).alias("open"))
-    regions = _packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary")
-    common = stored(met.where("open").groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
+    regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
+    common = stored(regions.groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
     found = met.where("not open").select("doc", "tag", "start", "n")
     rare = regions
     if not common.isEmpty():
-        # only then are the bytes read twice
-        regions = stored(regions, "regions")
         found = found.unionByName(_by_window(regions.join(common, "anchor", "left_semi")))
         rare = regions.join(common, "anchor", "left_anti")
     compared = rare.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc long, tag int, start int, n int")
