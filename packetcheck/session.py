@@ -91,13 +91,13 @@ def remove_dir(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a result that several branches read, and read it back.
+def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
+    """Write a result that several branches read, with the writer's options, and read it back.
 
     A table in the shared folder survives lost executors and is computed once,
     which neither a cache nor exchange reuse can promise.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
