@@ -355,9 +355,9 @@ def marks(docs: DataFrame, group_size: int = GROUP, united: int = UNITED, local:
     # repeats that are known already meet no others and go by document
     place = F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("anchor"))
     dealt = anchors.repartition(place).sortWithinPartitions("anchor", "whole", "doc", "tag", "start")
-    met = stored(dealt.mapInArrow(lambda batches: _meet(batches, united), f"anchor long, {ROW}, open boolean"), "met")
+    met = stored(dealt.mapInArrow(lambda batches: _meet(batches, united), f"anchor long, {ROW}, open boolean"), "met", compression="zstd")
     opened = met.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "off")).alias("open"))
-    regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions")
+    regions = stored(_packed(docs, WINDOW).join(opened, ["doc", "tag"]).mapInArrow(_regions, f"anchor long, {ROW}, region binary"), "regions", compression="zstd")
     common = stored(regions.groupBy("anchor").count().where(F.col("count") > group_size).select("anchor"), "common")
     found = met.where("not open").select("doc", "tag", "start", "n")
     rare = regions
