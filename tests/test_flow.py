@@ -160,7 +160,10 @@ def test_folder_to_verdicts(spark, folders):
     """One verdict for each folder, empty ones too; a picture is a report; one of two texts counts."""
     listing = list_folders(spark, folders)
     found = packets(listing.files, listing.texts, listing.folders)
-    rest = PacketTables(found, web_texts=listing.texts, files=listing.files, **records_of(spark, folders))
+    for name, table in records_of(spark, folders).items():
+        table.write.parquet(f"{folders}-tables/{name}")
+    rest = PacketTables.read(spark, f"{folders}-tables", found, web_texts=listing.texts, files=listing.files)
+    assert rest.pixels is None and rest.payloads is not None
     rows = {r.project_name: r for r in compare(rest).collect()}
     assert len(rows) == 6 and compare(rest).count() == 6
     whole = rows["QHE-1-A"]
