@@ -8,12 +8,14 @@ all later keys begin with; no sheet is gathered into one value.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packetcheck import vocab
 from packetcheck.functions.arrays import present
 from packetcheck.functions.dates import first_date
-from packetcheck.functions.text import field_label
+from packetcheck.functions.text import WS
 from packetcheck.functions.values import (
     cell_kind, cell_string, cell_text, is_meaningful, make_value, value_text, with_cell_value,
 )
@@ -31,23 +33,43 @@ def _bare(label: str) -> str:
     return label.translate(str.maketrans("", "", "\n\r 　:：")).strip()
 
 
+#: What goes from the ends of a label: white space and colons.
+_LOOSE_ENDS = r"[\s\x{0085}\p{Z}:：]"
+
+
+def _marks(words: list[str], between: str, ends: str) -> str:
+    """Pattern of texts that are one of some words, but for ``ends`` around and ``between`` in them."""
+    spaced = "|".join(between.join(map(re.escape, word)) for word in words)
+    return rf"\A{ends}*(?:{spaced}){ends}*\z"
+
+
+#: Words of marks in the order of their texts. Marks carry a word's place in it: the maximum of
+#: numbers is found by hashing, that of texts by sorting.
+_WORDS = sorted({_bare(label) for label in vocab.REGISTRY_LABELS} | {vocab.FIELD_HEADER, vocab.CONTENT_HEADER})
+
+
+def label_number(label: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(word) for word in _WORDS]), label)
+
+
 def marker_cells(cells: DataFrame, header_reach: int = HEADER_REACH) -> DataFrame:
     """Cells that are a known label, a field header or a content header.
 
     A content header is repeated at the addresses left of it in reach, where it
     would serve a field header; ``value_col`` says where it really stands.
     """
-    text = F.col("text")
-    text_cells = cells.filter(F.col("s").isNotNull()).select(
-        *SHEET, "row", "col", cell_text(F.col("kind"), F.col("s"), F.col("n")).alias("text")
-    )
-    marked = text_cells.select(
-        *SHEET, "row", "col", field_label(text).alias("label"),
-        (text == vocab.FIELD_HEADER).alias("is_field"),
-        (text == vocab.CONTENT_HEADER).alias("is_content"),
-    )
     known = [_bare(label) for label in vocab.REGISTRY_LABELS]
-    kept = marked.filter(F.col("label").isin(known) | F.col("is_field") | F.col("is_content"))
+    shown, label_marks = F.col("shown"), _marks(known, "[\\n\\r \\x{3000}:：]*", _LOOSE_ENDS)
+    field_mark, content_mark = (_marks([x], "\\n*", WS) for x in (vocab.FIELD_HEADER, vocab.CONTENT_HEADER))
+    # numbers are no labels, and bools are compared in lower case, as cell texts are
+    text = F.when(F.col("kind") == "bool", F.lower("s")).when(~F.col("kind").isin("int", "float", "empty"), F.col("s"))
+    # one search settles which cells are marks; only those are taken apart
+    kept = cells.select(*SHEET, "row", "col", text.alias("shown")).filter(
+        shown.rlike(f"{label_marks}|{field_mark}|{content_mark}")
+    ).select(
+        *SHEET, "row", "col", label_number(F.regexp_replace(shown, f"{_LOOSE_ENDS}+", "")).alias("label"),
+        shown.rlike(field_mark).alias("is_field"), shown.rlike(content_mark).alias("is_content"),
+    )
     at = F.when(
         F.col("is_content"),
         F.sequence(F.col("col") - header_reach, F.col("col") - 1),
@@ -77,7 +99,7 @@ def sheet_layouts(cells: DataFrame, header_reach: int = HEADER_REACH) -> DataFra
     labels = vocab.REGISTRY_LABELS
     found = places.groupBy(*SHEET).agg(
         F.min(F.when(is_header, place * (header_reach + 1) + offset)).alias("header"),
-        *[F.min(F.when(F.col("label") == _bare(x), place)).alias(x) for x in labels],
+        *[F.min(F.when(F.col("label") == _WORDS.index(_bare(x)) + 1, place)).alias(x) for x in labels],
     )
     at = F.floor(F.col("header") / (header_reach + 1)).cast("bigint")
     header = F.when(
@@ -149,10 +171,10 @@ def layout_hits(
         label = F.try_element_at("labels", place - distance)
         found.append((here & c("ok") & label.isNotNull(), F.struct(none, label, F.lit(rank), none)))
     pointed = present(*found, kind=HIT)
+    # a projection of its own is compiled; inside the explode the hits would be interpreted
+    aimed = joined.select("project_name", "kind", "s", "n", pointed.alias("pointed"))
     # the outer form keeps the optimizer from evaluating the hits twice
-    hits = joined.select(
-        "project_name", "kind", "s", "n", F.explode_outer(pointed).alias("hit")
-    )
+    hits = aimed.select("project_name", "kind", "s", "n", F.explode_outer("pointed").alias("hit"))
     return hits.filter(F.col("hit").isNotNull()).select("project_name", "kind", "s", "n", "hit.*")
 
 
