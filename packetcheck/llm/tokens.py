@@ -79,6 +79,20 @@ class WordEncoder:
         feed = self.piece("\n")
         return self.piece(first) + b"".join(feed + self.piece(x) for x in rest)
 
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """As ``chunk`` of each word behind a space; known words and marks behind known words aren't taken apart."""
+        get, found = self.known.get, []
+        for word in words:
+            text = " " + word
+            ids = get(text)
+            if ids is None:
+                core, marks = text.rstrip(TAIL), None
+                if len(core) < len(text) and core[-1] <= "\xff" and core[-1].isalnum():
+                    ids, marks = get(core), get(text[len(core):])
+                ids = self.chunk(text) if ids is None or marks is None else ids + marks
+            found.append(ids)
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more at the end)."""
         texts = texts.fill_null("")
@@ -124,7 +138,7 @@ class WordEncoder:
             firsts, back = np.unique(which[heads], return_inverse=True)
             which = which.copy()
             which[heads] = n + back
-            found = [self.chunk(" " + x) for x in different] + [self.chunk(different[k]) if different[k] else b"" for k in firsts]
+            found = self.spaced(different) + [self.chunk(different[k]) if different[k] else b"" for k in firsts]
         else:
             found = [self.piece(x) if x else b"" for x in different]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
@@ -133,7 +147,9 @@ class WordEncoder:
         each = sizes[which]
         upto = np.zeros(len(each) + 1, dtype=np.int64)
         np.cumsum(each, out=upto[1:])
-        ids = flat[np.arange(upto[-1]) + np.repeat(begin[which] - upto[:-1], each)]
+        # places are half as wide where they can be
+        width = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
+        ids = flat[np.arange(upto[-1], dtype=width) + np.repeat((begin[which] - upto[:-1]).astype(width), each)]
         bounds = upto[ends]
         for k, place in enumerate(places):
             parts[place] = ids[bounds[k]:bounds[k + 1]]

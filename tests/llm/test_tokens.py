@@ -126,3 +126,18 @@ def test_empty_tables(spark, docs_of):
     path = shared_dir(spark, "tokens")
     token_files.write(none, path, BYTE, shards=2)
     assert token_files.digests(spark, path).count() == 0
+
+
+def test_known_words_are_not_taken_apart_again():
+    """Marks behind a known word join its ids; such words come as often as bare ones."""
+    coder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), keeps_space=True)
+    texts = pa.array(["x house tree", "x house, tree. house.. , a\nb. é, 日, house\n, ."])
+    first, _ = coder.encode(texts)
+    asked = []
+    plain = coder.chunk
+    coder.chunk = lambda text: asked.append(text) or plain(text)
+    again, at = coder.encode(texts)
+    assert first.tolist() == again.tolist()
+    assert " house," not in asked and " tree." not in asked and " house.." not in asked
+    for k, text in enumerate(texts.to_pylist()):
+        assert again[at[k]:at[k + 1]].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
