@@ -29,6 +29,7 @@ from packetcheck.llm.tokens import encoder
 END_ID = 2
 LAYOUT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,13 @@ def _visible_bytes() -> list[str]:
 
 
 class WordEncoder:
-    """Encodes Arrow arrays of texts; keeps at most ``limit`` words' ids."""
+    """Encodes Arrow arrays of texts.
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 1_000_000):
+    Words' ids are kept in two generations of at most ``limit`` words each: when the younger is
+    full it becomes the older, whose words are dropped unless they are met again meanwhile.
+    """
+
+    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,6 +50,7 @@ class WordEncoder:
         self.keeps_space = keeps_space
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes = dict(enumerate(_visible_bytes()))
         self.loose = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
@@ -58,16 +64,27 @@ class WordEncoder:
         if found is not None:
             return found
         core = word.rstrip(TAIL)
-        bare = core[1:] if core[:1] == " " else core
-        if bare and len(core) < len(word) and bare[-1] <= "\xff" and bare[-1].isalnum():
+        last = core[-1:]
+        if last and len(core) < len(word) and last <= "\xff" and last.isalnum():
             return self.piece(core) + self.piece(word[len(core):])
-        if bare.isalpha() and max(bare) <= "\xff" and (self.keeps_space or bare == bare.lower()):
-            seen = "".join(map(self.bytes.__getitem__, word.encode()))
-            found = np.array([x.id for x in self.model.tokenize(seen)], dtype="<u4").tobytes()
-        else:
-            found = self.whole(word)
+        return self.learn(word)
+
+    def learn(self, word: str) -> bytes:
+        """As ``piece`` of a word that the younger generation lacks and that isn't taken apart."""
+        found = self.older.get(word)
+        if found is None:
+            bare = word[1:] if word[:1] == " " else word
+            if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff") and (self.keeps_space or bare == bare.lower()):
+                if bare.isascii():
+                    seen = bare if len(bare) == len(word) else self.bytes[32] + bare
+                else:
+                    seen = "".join(map(self.bytes.__getitem__, word.encode()))
+                ids = [x.id for x in self.model.tokenize(seen)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                found = self.whole(word)
         if len(self.known) >= self.limit:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         self.known[word] = found
         return found
 
@@ -80,16 +97,24 @@ class WordEncoder:
         return self.piece(first) + b"".join(feed + self.piece(x) for x in rest)
 
     def spaced(self, words: list[str]) -> list[bytes]:
-        """As ``chunk`` of each word behind a space; known words and marks behind known words aren't taken apart."""
-        get, found = self.known.get, []
+        """Ids of each word behind a space, or behind the line feed it begins with; known words and marks
+        behind known words aren't taken apart."""
+        get, found, feed = self.known.get, [], self.piece("\n")
         for word in words:
+            if word[:1] == "\n":
+                found.append(feed + self.piece(word[1:]))
+                continue
             text = " " + word
             ids = get(text)
             if ids is None:
-                core, marks = text.rstrip(TAIL), None
-                if len(core) < len(text) and core[-1] <= "\xff" and core[-1].isalnum():
-                    ids, marks = get(core), get(text[len(core):])
-                ids = self.chunk(text) if ids is None or marks is None else ids + marks
+                core = text.rstrip(TAIL)
+                if len(core) == len(text):
+                    ids = self.learn(text)
+                elif core[-1] <= "\xff" and core[-1].isalnum():
+                    ids, marks = get(core), text[len(core):]
+                    ids = (self.learn(core) if ids is None else ids) + (get(marks) or self.piece(marks))
+                else:
+                    ids = self.chunk(text)
             found.append(ids)
         return found
 
@@ -123,14 +148,15 @@ class WordEncoder:
         if not len(texts):
             return
         if self.keeps_space:
-            words = pc.split_pattern(texts, " ")
+            # a line feed stands between two words here, and stays with the second
+            words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         else:
             words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
         ends = np.asarray(words.offsets).astype(np.int64)
         ends = ends - ends[0]
         coded = words.flatten().dictionary_encode()
         which = np.asarray(coded.indices)
-        different = coded.dictionary.to_pylist()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.keeps_space:
             # the first word of a text has no space before it
             n = len(different)
@@ -138,7 +164,7 @@ class WordEncoder:
             firsts, back = np.unique(which[heads], return_inverse=True)
             which = which.copy()
             which[heads] = n + back
-            found = self.spaced(different) + [self.chunk(different[k]) if different[k] else b"" for k in firsts]
+            found = self.spaced(different) + [self.piece(different[k]) if different[k] else b"" for k in firsts]
         else:
             found = [self.piece(x) if x else b"" for x in different]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
@@ -162,5 +188,6 @@ def encoder(path: str, keeps_space: bool) -> WordEncoder:
     """One encoder per worker process, so that its words stay known."""
     key = (path, keeps_space)
     if key not in _encoders:
-        _encoders[key] = WordEncoder(path, keeps_space)
+        # lower-cased words are fewer
+        _encoders[key] = WordEncoder(path, keeps_space, 400_000 if keeps_space else 200_000)
     return _encoders[key]

@@ -141,3 +141,32 @@ def test_known_words_are_not_taken_apart_again():
     assert " house," not in asked and " tree." not in asked and " house.." not in asked
     for k, text in enumerate(texts.to_pylist()):
         assert again[at[k]:at[k + 1]].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_beside_line_feeds_are_looked_up_by_themselves():
+    coder = WordEncoder(BYTE, keeps_space=True)
+    asked = []
+    plain = coder.chunk
+    coder.chunk = lambda text: asked.append(text) or plain(text)
+    texts = [f"x {a}\n{b}. y\n{b}\n{a}" for a in ("one", "two,", "é") for b in ("Three", "日本", "'s")]
+    ids, at = coder.encode(pa.array(texts))
+    assert not [x for x in asked if "\n" in x]
+    for k, text in enumerate(texts):
+        assert ids[at[k]:at[k + 1]].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_met_again_stay_known():
+    coder = WordEncoder(BYTE, keeps_space=True, limit=20)
+    learnt = []
+    plain = coder.model.tokenize
+
+    class Model:
+        def tokenize(self, text):
+            learnt.append(text)
+            return plain(text)
+
+    coder.model = Model()
+    for k in range(12):
+        coder.encode(pa.array([f"the house {'a' * (k + 2)} {'b' * (k + 2)} {'c' * (k + 2)} {'d' * (k + 2)}"]))
+        assert len(coder.known) <= 20 and len(coder.older) <= 20
+    assert learnt.count("Ġhouse") == 1
