@@ -34,8 +34,16 @@ def page_ratios(pixels: DataFrame) -> DataFrame:
 
     Every pixel counts; the counts combine before their only shuffle.
     """
-    red = is_red(F.col("r"), F.col("g"), F.col("b"))
-    counts = pixels.groupBy(*PAGE).agg(F.count("*").alias("counted"), F.count_if(red).alias("red"))
+    return _counted(_flags(pixels))
+
+
+def _flags(pixels: DataFrame) -> DataFrame:
+    """Each pixel's page and whether it is red, which is all that need be dealt out of it."""
+    return pixels.select(*PAGE, is_red(F.col("r"), F.col("g"), F.col("b")).alias("red"))
+
+
+def _counted(flags: DataFrame) -> DataFrame:
+    counts = flags.groupBy(*PAGE).agg(F.count("*").alias("counted"), F.count_if("red").alias("red"))
     return counts.withColumn("stamped", F.col("red") / F.col("counted") >= vocab.RED_RATIO)
 
 
@@ -102,7 +110,7 @@ def stamps_where_needed(
     wanted = amounts.filter(needs_stamp(F.col("amount"))).select("project_name")
     sides = []
     if pixels is not None:
-        sides.append(page_ratios(pixels.join(wanted, "project_name", "left_semi")))
+        sides.append(_counted(_flags(pixels).join(wanted, "project_name", "left_semi")))
     if pictures is not None:
         sides.append(file_ratios(pictures.join(wanted, "project_name", "left_semi")))
     pages = reduce(DataFrame.unionByName, [s.select("project_name", "stamped") for s in sides])

@@ -14,6 +14,9 @@ from contextlib import contextmanager
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: A batch of rows on the way to a Python worker or back.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,6 +30,10 @@ DEFAULTS = {
     # grow with the data instead, so that sorts stay in memory
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
+    # nor may a task's share of a file grow with the file: what a task holds back for its exchange grows with its rows
+    "spark.sql.files.maxPartitionBytes": "16MB",
+    # 10,000 rows of texts may take any size; a task and its worker each hold a batch or two
+    BATCH_BYTES: "8MB",
     # rule suites compile to long methods; beyond this size the JIT gives up, so
     # let Spark split the expressions into small methods instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -43,12 +50,12 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """The engine's settings for a session that was built without them, but for what it was given itself."""
+def tuned(spark: SparkSession, *keys: str) -> SparkSession:
+    """The engine's settings (or the named ones) for a session that was built without them, but for what it was given itself."""
     given = spark.sparkContext.getConf()
-    for key, value in DEFAULTS.items():
+    for key in keys or DEFAULTS:
         if not given.contains(key) and spark.conf.isModifiable(key):
-            spark.conf.set(key, value)
+            spark.conf.set(key, DEFAULTS[key])
     return spark
 
 
