@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetcheck.llm import decontamination, packing, quality, secrets, simhash
 from packetcheck.llm.common import table
-from packetcheck.session import remove_dir, scratch, shared_dir
+from packetcheck.session import BATCH_BYTES, remove_dir, scratch, shared_dir, tuned
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (0.8 of the distinct five-word shingles in common)
     one row, that with the smallest doc_id."""
+    tuned(spark, BATCH_BYTES)
     return simhash.keep_first(docs, simhash.near_copies(docs, shingle=5, similarity=0.8))
 
 
@@ -33,12 +34,14 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with values replaced in their texts unless they are widely copied examples."""
+    tuned(spark, BATCH_BYTES)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 2048 tokens."""
+    tuned(spark, BATCH_BYTES)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -31,6 +31,8 @@ from packetcheck.session import stored
 
 CAPACITY = 2048
 END_ID = 0
+#: Texts cut at a time; words, ids and pieces of a slice take many times its bytes.
+SLICE_BYTES = 4 << 20
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -47,7 +49,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         encode = encoder(tokenizer, keeps_space=False)
         part = TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, at = encode.encode(batch.column("text"))
             rows, piece, start, crc, pieces = [], [], [], [], []
             for row in range(batch.num_rows):
