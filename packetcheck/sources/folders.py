@@ -1,15 +1,17 @@
 """A folder of project folders as a data source.
 
-The root is listed once; its project folders are dealt out to tasks, which list their files and
+The root is listed once, by names alone; its project folders are dealt out to tasks, which list their files and
 read those texts that are asked for. A folder without files yields one row without a path. Any
 store that Arrow's file systems reach will do (local or mounted folders, hdfs://, s3://, gs://).
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,6 +30,8 @@ _ARROW = pa.schema([
 ])
 #: Rows and bytes of texts that a batch holds, one text more at most.
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+#: Folders that a task lists at least, and how many tasks there are at most where that isn't set: each leaves a file.
+FOLDERS, TASKS = 256, 4096
 
 
 def is_project_name(name: str) -> bool:
@@ -36,16 +40,16 @@ def is_project_name(name: str) -> bool:
 
 @dataclass
 class Projects(InputPartition):
-    """Names of the project folders that a task lists."""
+    """Names of the project folders that a task lists, with slashes between them: millions are on their way at once."""
 
-    names: list[str]
+    names: str
 
 
 class PacketFolders(DataSource):
     """``spark.read.format("packet_folders").load(root)``.
 
     Options: ``texts``, the suffix of files whose text is read (``.txt``; empty for none), and
-    ``batch``, how many folders a task lists.
+    ``batch``, how many folders a task lists (by default 256, or more where that would be too many tasks).
     """
 
     @classmethod
@@ -59,23 +63,41 @@ class PacketFolders(DataSource):
         return FolderReader(self.options)
 
 
+def folder_names(path: str) -> Iterator[str]:
+    """Names of the project folders below a root, which may be absent."""
+    store, root = store_of(path)
+    if isinstance(store, fs.LocalFileSystem):
+        # what is a folder stands in the listing: nothing need be asked of each
+        try:
+            with os.scandir(root) as found:
+                yield from (x.name for x in found if is_project_name(x.name) and x.is_dir())
+        except FileNotFoundError:
+            pass
+        return
+    for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if x.type == fs.FileType.Directory and is_project_name(x.base_name):
+            yield x.base_name
+
+
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"].rstrip("/")
         self.suffix = options.get("texts", ".txt").lower()
-        self.batch = int(options.get("batch", "256"))
+        self.batch = int(options["batch"]) if "batch" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        store, root = store_of(self.root)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        names = sorted(x.base_name for x in found if x.type == fs.FileType.Directory and is_project_name(x.base_name))
+        # names are packed as they come: one object for each folder would take more than the folders' rows
+        names, dealt = folder_names(self.root), []
+        while some := list(islice(names, self.batch or FOLDERS)):
+            dealt.append("/".join(some))
+        step = 1 if self.batch else -(-len(dealt) // TASKS) or 1
         # a source without a partition would be read as one without a value
-        return [Projects(names[k:k + self.batch]) for k in range(0, len(names), self.batch)] or [Projects([])]
+        return [Projects("/".join(dealt[k:k + step])) for k in range(0, len(dealt), step)] or [Projects("")]
 
     def read(self, partition: Projects) -> Iterator[pa.RecordBatch]:
         store, root = store_of(self.root)
         rows, held = [], 0
-        for name in partition.names:
+        for name in filter(None, partition.names.split("/")):
             files = store.get_file_info(fs.FileSelector(f"{root}/{name}", allow_not_found=True))
             kept = sorted((x for x in files if x.type == fs.FileType.File), key=lambda x: x.base_name)
             for file in kept:
